@@ -142,7 +142,7 @@ class ForcedBoundaryBPE:
     @lru_cache(maxsize=1)  # noqa: B019  one encoder a process
     def _wide(self) -> regex.Pattern:
         """The file's pattern, without letters and numbers that are newer than the library's tables."""
-        letters = [chr(c) for c in range(0x250, 0x110000) if not 0xD800 <= c < 0xE000 and regex.match(r"[\p{L}\p{N}]", chr(c))]
+        letters = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0x100, 0xD800), *range(0xE000, 0x110000)])))
         at, new = 0, []
         kept = {span for _, span in self.library.pre_tokenizer.pre_tokenize_str(" ".join(f"a{c}b" if c.isalpha() else f"{c}!" for c in letters))}
         for c in letters:
