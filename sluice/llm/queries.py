@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, decontaminate, simhash
+from sluice.llm import bpe, decontaminate, simhash, tokenio
 from sluice.llm._common import table
 
 
@@ -24,9 +24,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_tokenio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenio.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_decontaminate": op4_decontaminate,
     "op7_simhash": op7_simhash,
+    "op9_tokenio": op9_tokenio,
 }
 ORACLE: dict[str, str] = {}
