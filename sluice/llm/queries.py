@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, decontaminate, simhash, tokenio
+from sluice.llm import bpe, decontaminate, pii, simhash, tokenio
 from sluice.llm._common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -29,6 +33,7 @@ def op9_tokenio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
     "op4_decontaminate": op4_decontaminate,
     "op7_simhash": op7_simhash,
