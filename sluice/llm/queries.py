@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, decontaminate, pii, simhash, tokenio
+from sluice.llm import bpe, decontaminate, langid, pii, simhash, tokenio
 from sluice.llm._common import table
 
 
@@ -23,6 +23,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -36,6 +40,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
     "op4_decontaminate": op4_decontaminate,
+    "op5_langid": op5_langid,
     "op7_simhash": op7_simhash,
     "op9_tokenio": op9_tokenio,
 }
