@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, decontaminate, langid, pii, simhash, tokenio, toxicity
+from sluice.llm import bpe, decontaminate, htmltext, langid, pii, simhash, tokenio, toxicity
 from sluice.llm._common import table
 
 
@@ -41,6 +41,10 @@ def op9_tokenio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenio.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
@@ -49,5 +53,6 @@ QUERIES = {
     "op5_langid": op5_langid,
     "op7_simhash": op7_simhash,
     "op9_tokenio": op9_tokenio,
+    "op10_html": op10_html,
 }
 ORACLE: dict[str, str] = {}
