@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, decontaminate, htmltext, langid, pii, simhash, tokenio, toxicity
+from sluice.llm import ann, bpe, decontaminate, htmltext, langid, pii, simhash, tokenio, toxicity
 from sluice.llm._common import table
 
 
@@ -37,6 +37,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_tokenio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenio.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_langid": op5_langid,
     "op7_simhash": op7_simhash,
+    "op8_ann": op8_ann,
     "op9_tokenio": op9_tokenio,
     "op10_html": op10_html,
 }
