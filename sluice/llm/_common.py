@@ -96,3 +96,14 @@ def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def texts(column: pa.Array) -> list[str]:
     """The texts of a column; null is empty."""
     return [x or "" for x in column.to_pylist()]
+
+
+def narrow(text: str) -> bool:
+    """Whether all characters are below U+0100."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, models
 
-from sluice.llm._common import map_arrow, texts
+from sluice.llm._common import map_arrow, narrow, texts
 
 #: Words a worker keeps; beyond it the cache is emptied and fills anew.
 CACHE_ENTRIES = 400_000
@@ -43,17 +43,6 @@ def byte_symbols() -> list[str]:
     return out
 
 
-def narrow(text: str) -> bool:
-    """Whether all characters are below U+0100."""
-    if text.isascii():
-        return True
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
 class ForcedBoundaryBPE:
     """BPE of one vocabulary file with word ends, lower case and no decoder."""
 
@@ -194,19 +183,21 @@ def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
     return map_arrow(df, [df[id_col].alias(id_col), df[text_col].alias("__text")], run, f"{id_col} {kind}, ids binary, decoded string")
 
 
-def digests(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``; ids and texts stay in the worker."""
+def digests(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per row: ``id_col``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, and ``ids`` if they are asked for; texts stay in the worker."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = encoder(vocabulary)
         sha = hashlib.sha256
-        n, a, b = [], [], []
+        n, a, b, every = [], [], [], []
         for t in texts(batch.column(1)):
             ids = bpe.encode(t)
             n.append(len(ids) // 4)
             a.append(sha(ids).hexdigest())
             b.append(sha(bpe.decode(ids)).hexdigest())
-        return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            every.append(ids)
+        more = [pa.array(every, pa.binary())] if with_ids else []
+        return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *more], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_arrow(df, [df[id_col].alias(id_col), df[text_col].alias("__text")], run, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(df, [df[id_col].alias(id_col), df[text_col].alias("__text")], run, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{', ids binary' if with_ids else ''}")

@@ -297,12 +297,20 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return map_arrow(df, [df[id_col].alias(id_col), df[text_col].alias("__text")], run, f"{id_col} {kind}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base_sha256 string, spans string, n_added bigint")
 
 
-def redacted(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with personal data in ``text_col`` replaced; null stays null, other columns stay as they are."""
+def redacted(df: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``df`` with personal data in ``text_col`` replaced; null stays null, other columns stay as they are.
+
+    ``length_col``: a column that holds the text's length, which follows the text.
+    """
     at = df.columns.index(text_col)
+    length = df.columns.index(length_col) if length_col else None
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         new = [t if t is None else redact(t, find(t)[1]) for t in batch.column(at).to_pylist()]
-        return batch.set_column(at, batch.schema.field(at).name, pa.array(new, batch.schema.field(at).type))
+        out = batch.set_column(at, batch.schema.field(at).name, pa.array(new, batch.schema.field(at).type))
+        if length is None:
+            return out
+        size = [n if t is None else len(t) for t, n in zip(new, batch.column(length).to_pylist(), strict=True)]
+        return out.set_column(length, batch.schema.field(length).name, pa.array(size, batch.schema.field(length).type))
 
     return map_arrow(df, [df[c] for c in df.columns], run, df.schema)

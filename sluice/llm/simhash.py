@@ -252,13 +252,40 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(star(star(now, True), False), "links")
 
 
-def near_duplicates(df: DataFrame, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col``, ``fp``, ``component_id``: the smallest id that is reachable by links, its own included."""
-    docs = written(fingerprints(df, id_col, text_col), "fingerprints")
+def _named(docs: DataFrame, budget: int, id_col: str) -> DataFrame:
+    """(``fp``, ``component_id``) of all fingerprints of ``docs``."""
     nodes = written(docs.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     roots = components(links(nodes.select("fp"), budget))
     linked = written(roots.union(roots.select("root", "root").distinct()).toDF("fp", "root").join(nodes, "fp"), "linked")
     whole = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = linked.join(whole, "root").select("fp", "component_id")
-    named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return docs.join(named, "fp").select(id_col, "fp", "component_id")
+    moved = linked.join(whole, "root").select("fp", "component_id", "root")
+    return nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(df: DataFrame, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``id_col``, ``fp``, ``component_id``: the smallest id that is reachable by links, its own included."""
+    docs = written(fingerprints(df, id_col, text_col), "fingerprints")
+    return docs.join(_named(docs, budget, id_col), "fp").select(id_col, "fp", "component_id")
+
+
+def keep_one(df: DataFrame, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all columns of ``df``: that of the smallest id, null last; of rows with that id any one.
+
+    Rows are told apart by a hash of all their columns; the texts are read twice and shuffled once at most.
+    """
+    row = F.xxhash64(*[df[c] for c in df.columns])
+    marked = df.select(df[id_col].alias("id"), df[text_col].alias("text"), row.alias("row")).select(F.struct("id", "row").alias("key"), "text")
+    docs = written(fingerprints(marked, "key", "text").select("key.id", "key.row", "fp"), "fingerprints")
+    named = _named(docs, budget, "id").select("fp", "root")
+    rank = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("row"))).alias("best")
+    winners = docs.groupBy("fp").agg(rank).join(named, "fp").groupBy("root").agg(F.min("best").alias("best"))
+    winners = written(winners.select(F.col("best.id").alias("__id"), F.col("best.row").alias("__row")), "winners")
+    rows = df.withColumn("__r", row)
+    kept = rows.join(winners, rows[id_col].eqNullSafe(winners["__id"]) & (rows["__r"] == winners["__row"]), "left_semi")
+    again = docs.groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1")
+    if again.isEmpty():
+        return kept.drop("__r")
+    # Rows that are the same in all columns, ids too: one of each is left.
+    again = written(again.select(F.col("id").alias("__id"), F.col("row").alias("__row")), "repeated")
+    same = kept[id_col].eqNullSafe(again["__id"]) & (kept["__r"] == again["__row"])
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, "__r"])).drop("__r")
