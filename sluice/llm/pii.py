@@ -187,13 +187,13 @@ _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 SPELLED = re.compile(rf"(?<!\w)(?:plus[ \t]{{1,3}})?(?:{_DIGIT})(?:[ \t,/-]{{1,3}}(?:{_DIGIT}|[0-9]))+(?!\w)", re.I)
 ONE_SPELLED = re.compile(rf"(?<!\w)(?:{_DIGIT})(?=[ \t]{{1,3}}(?:dot|point|punkt|punto)[ \t])|(?<=(?:dot|int|nkt|nto)[ \t])(?:{_DIGIT})(?!\w)", re.I)
 PART = re.compile(rf"plus|{_DIGIT}|[0-9]", re.I)
-AMONG_DIGITS = re.compile(r"(?<=[0-9])(?:[Oo]|[lI|])(?=[0-9])")
+AMONG_DIGITS = re.compile(r"(?:(?<=[0-9])|(?<=[0-9][ .()-]))[OolI|]{1,4}(?=[ .()-]?[0-9])")
 HAS_SPELLED = re.compile(rf"(?<!\w)(?:{_DIGIT})[ \t,/-]{{1,3}}(?:{_DIGIT}|[0-9]|dot|point|punkt|punto)(?!\w)", re.I)
 
 
 def spelled_digits(tape: Tape) -> Tape:
     """Runs of digit words become digits, with nothing between them; a lone word only between spelled dots."""
-    edits = [(m.start(), m.start() + 1, "0" if m.group() in "Oo" else "1") for m in AMONG_DIGITS.finditer(tape.text)]
+    edits = [(m.start(), m.end(), "".join("0" if c in "Oo" else "1" for c in m.group())) for m in AMONG_DIGITS.finditer(tape.text)]
     if HAS_SPELLED.search(tape.text):
         for m in SPELLED.finditer(tape.text):
             digits = "".join("+" if w.lower() == "plus" else DIGIT_WORDS.get(w.lower(), w) for w in PART.findall(m.group()))

@@ -47,7 +47,9 @@ def test_disguises_map_back_to_the_source():
     assert spans("card four one one one 1111 1111 1111") == [("card", "four one one one 1111 1111 1111")]
     assert spans("host one nine two dot one six eight dot zero dot one up") == [("ip", "one nine two dot one six eight dot zero dot one")]
     assert spans("١٩٢.168.0.1") == [("ip", "١٩٢.168.0.1")]
-    assert spans("4111 llll 1111 1111") == []
+    assert spans("4111 1111 1111 1ll1") == [("card", "4111 1111 1111 1ll1")]
+    assert spans("call +1 (O17) 555-77l3") == [("phone", "+1 (O17) 555-77l3")]
+    assert spans("1O 2 l 3 and 5 Oo 7") == []
 
 
 def test_clean_texts_stay_clean():
