@@ -187,7 +187,7 @@ _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 SPELLED = re.compile(rf"(?<!\w)(?:plus[ \t]{{1,3}})?(?:{_DIGIT})(?:[ \t,/-]{{1,3}}(?:{_DIGIT}|[0-9]))+(?!\w)", re.I)
 ONE_SPELLED = re.compile(rf"(?<!\w)(?:{_DIGIT})(?=[ \t]{{1,3}}(?:dot|point|punkt|punto)[ \t])|(?<=(?:dot|int|nkt|nto)[ \t])(?:{_DIGIT})(?!\w)", re.I)
 PART = re.compile(rf"plus|{_DIGIT}|[0-9]", re.I)
-AMONG_DIGITS = re.compile(r"(?:(?<=[0-9])|(?<=[0-9][ .()-]))[OolI|]{1,4}(?=[ .()-]?[0-9])")
+AMONG_DIGITS = re.compile(r"(?:(?<=[0-9])|(?<=[0-9][ .()-])|(?<=[0-9][ -]\())[OolI|]{1,4}(?=[ .()-]?[0-9])")
 HAS_SPELLED = re.compile(rf"(?<!\w)(?:{_DIGIT})[ \t,/-]{{1,3}}(?:{_DIGIT}|[0-9]|dot|point|punkt|punto)(?!\w)", re.I)
 
 
