@@ -2,8 +2,10 @@ import hashlib
 import random
 import re
 
+import duckdb
+
 from sluice.llm import decontaminate
-from sluice.llm.queries import op4_decontaminate
+from sluice.llm.queries import ORACLE, op4_decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -58,3 +60,13 @@ def test_query_on_the_small_table(spark):
     got = op4_decontaminate(spark, at)
     assert got.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert sorted(map(tuple, got.collect()), key=str) == brute(docs, items)
+
+
+def test_sql_states_the_same_result():
+    at = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{at}/{name}.parquet'")
+    docs, items = (con.execute(f"SELECT * FROM {n}").fetchall() for n in ("documents", "benchmark"))
+    want = brute([x[:2] for x in docs], items)
+    assert sorted(con.execute(ORACLE["op4_decontaminate"]).fetchall(), key=str) == want
