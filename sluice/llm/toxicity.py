@@ -281,8 +281,9 @@ def train(df: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sampl
         got = np.array([get().aggregate(t) for t in texts(batch.column(1))]).reshape(batch.num_rows, -1)
         return pa.record_batch([batch.column(0), *(pa.array(got[:, k]) for k in range(got.shape[1]))], names=["toxic", "a", "b", "c", "d"])
 
-    got = map_arrow(sample, [F.col("toxic"), F.col("text")], aggregates, "toxic int, a double, b double, c double, d double").orderBy("b", "c", "d", "toxic").collect()
-    tagger.doc = _logistic(np.array([x[1:] for x in got]), np.array([x.toxic for x in got], float))
+    # As many rows as the sample has; they are sorted here, as most are alike and would meet in one task.
+    got = sorted(map(tuple, map_arrow(sample, [F.col("toxic"), F.col("text")], aggregates, "toxic int, a double, b double, c double, d double").collect()))
+    tagger.doc = _logistic(np.array([x[1:] for x in got]), np.array([x[0] for x in got], float))
     return tagger
 
 
