@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from sluice.llm import ann, bpe, decontaminate, htmltext, langid, pii, simhash, tokenio, toxicity
+from sluice.llm import ann, bpe, decontaminate, htmltext, langid, pii, pseudolm, simhash, tokenio, toxicity
 from sluice.llm._common import table
 
 
@@ -32,6 +32,11 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_pseudolm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudolm.score(docs, pseudolm.train(docs))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -55,6 +60,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
     "op5_langid": op5_langid,
+    "op6_pseudolm": op6_pseudolm,
     "op7_simhash": op7_simhash,
     "op8_ann": op8_ann,
     "op9_tokenio": op9_tokenio,
