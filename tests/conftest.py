@@ -3,6 +3,8 @@ import sys
 
 import pytest
 
+#: One thread for each worker: many share the cores.
+os.environ.setdefault("OMP_NUM_THREADS", "1")
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from sluice.session import build_session
