@@ -232,16 +232,16 @@ def main_text(html: str, path: str | None) -> str:
     return " ".join(entities.unescape("".join(out)).split())
 
 
-def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", salts: int = 16, broadcast_hosts: int = 5_000) -> DataFrame:
+def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", salts: int = 16, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """Per row: ``id_col``, ``url_col``, ``text``, ``n_chars``.
 
-    Templates of up to ``broadcast_hosts`` hosts go to every task; more are joined, with hosts dealt out over ``salts`` keys.
+    Templates of up to ``broadcast_bytes`` together go to every task; more are joined, with hosts dealt out over ``salts`` keys.
     """
     pages = df.select(df[id_col].alias("key"), df[url_col].alias("url"), df[html_col].alias("html"))
     known = written(templates(pages), "templates")
     host = F.coalesce(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:/?#]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^:/?#\[]*)", 1)), F.lit(""))
     rows = pages.withColumn("host", F.regexp_replace(host, r"[\[\]]", ""))
-    if known.count() <= broadcast_hosts:
+    if (known.agg(F.sum(F.length("template") + F.length("host"))).first()[0] or 0) <= broadcast_bytes:
         joined = rows.join(F.broadcast(known), "host", "left")
     else:
         dealt = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -20,6 +20,12 @@ def test_article_of_marked_pages(spark):
     assert got == {k: (f"Head {k + 1} Body {k + 1} & more second para", 32) for k in range(3)}
 
 
+def test_joined_templates_give_the_same_texts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    one = sorted(map(tuple, htmltext.extract(pages).collect()))
+    assert sorted(map(tuple, htmltext.extract(pages, broadcast_bytes=0).collect())) == one
+
+
 def test_article_without_marks_is_the_container_that_varies(spark):
     page = '<html><body><div class="w"><div class="m7">Home About <p>a long constant line of words that never changes here at all</p></div><div id="story"><div class="t">Title {0}</div><p>{1}</p></div><div class="comments">nice {0}</div></div></body></html>'
     rows = [(f"https://b.example.com/{i}?q", page.format(i, f"w{i} x y z " * (5 + i))) for i in range(6)]
