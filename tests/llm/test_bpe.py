@@ -1,9 +1,12 @@
+import hashlib
+
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from sluice.llm import bpe
+from sluice.llm.queries import op2_bpe
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 HARD = [
@@ -51,3 +54,15 @@ def test_query_on_odd_rows(spark, library):
         assert np.frombuffer(bytes(got[i].ids), "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
     assert bpe.digests(df.limit(0), PATH).collect() == []
     assert {r.n_tokens for r in bpe.digests(df, PATH).where("doc_id < 3").collect()} == {0}
+
+
+def test_query_on_the_small_table(spark, library):
+    at = "/root/testdata/sf0.001"
+    got = op2_bpe(spark, at)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    docs = {x.doc_id: x.text for x in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    want = set()
+    for d, t in docs.items():
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.add((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert set(map(tuple, got.collect())) == want
