@@ -13,9 +13,8 @@ so a short document is read by a seek to its frame, and a shard that was written
 the hash. Shards are rows of a table that Spark writes, so any store will do, and lost executors only repeat their
 tasks.
 
-Order. Documents are put in ascending order of id by ranges; each task writes its range in order, and where a range's ids
-begin follows from the ids of the ranges before it: one number for each range goes to the driver, and there are as many
-ranges as shuffle partitions.
+Order. Quantiles of the ids cut them into ranges, four for each shuffle partition, and each range is written in order by one task. Where
+a range's ids begin follows from those of the ranges before it: one number for each range goes to the driver.
 
 Defined results: a null text counts as empty and has the end id alone; null doc_ids come first; rows with the same id are
 ordered by their frames, so repeated rows give repeated rows; an empty table gives an empty result; other columns are not looked at.
@@ -24,32 +23,38 @@ ordered by their frames, so repeated rows give repeated rows; an empty table giv
 from __future__ import annotations
 
 import json
+import re
 import struct
-import uuid
 import zlib
 from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sluice.llm._common import map_arrow, scratch_path, texts
+from sluice.llm._common import map_arrow, narrow, scratch_path, texts
 
 MAGIC, VERSION = b"SLZI", 1
 HEADER = struct.Struct("<4sI8sQ")
 #: A shard is closed at so many compressed bytes or documents.
 SHARD_BYTES, SHARD_DOCS = 4 << 20, 8192
-CACHE_ENTRIES = 400_000
+#: Entries of each of a worker's two caches.
+CACHE_ENTRIES = 300_000
 NO_ID = -(1 << 63)
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a cache: its own first step splits texts, and each new piece is encoded by it once."""
+    """The tokenizers library behind a cache of what stands between single spaces.
+
+    The vocabulary's first step takes at most one space into a word, and only runs of white space join across spaces. So
+    where no space has white space beside it, a text's ids are those of its first stretch and of " stretch" for all others; each
+    stretch is encoded by the library once and then found in the cache. Where spaces do have white space beside them, the
+    text is first cut before each such run's last space, which is where the library cuts it too.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -57,39 +62,69 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.at_special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
-        # The pattern of byte-level pre-tokenizers.
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self._known: dict[str, bytes] = {}
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self._stretches, self._words = Cache(CACHE_ENTRIES), Cache(CACHE_ENTRIES)
+
+    def _library(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if not narrow(text):
-            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        got: list[str] = []
-        for k, part in enumerate(self.at_special.split(text)):
-            got += [part] if k % 2 else self.pieces(part)
-        ids = [*map(self._known.get, got)]
-        if None in ids:
-            new = list({p for p, i in zip(got, ids, strict=True) if i is None})
-            found = {p: array("I", e.ids).tobytes() for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            if len(self._known) > CACHE_ENTRIES:
-                self._known.clear()
-            ids = [i if i is not None else found[p] for p, i in zip(got, ids, strict=True)]
-            self._known |= {p: i for p, i in found.items() if len(p) <= 64}
-        return b"".join(ids)
-
-
-def narrow(text: str) -> bool:
-    """Whether all characters are below U+0100, where the pattern's classes are the same in both libraries."""
-    if text.isascii():
-        return True
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+        if any(t in text for t in self.special) or not text.isascii() and BESIDE_WIDE.search(text):
+            return self._library([text])[0]
+        if any(p in text for p in BESIDE):
+            parts = CUT.split(text)
+        else:
+            parts = text.split(" ")
+        parts = [f" {p}" for p in parts]
+        parts[0] = parts[0][1:]
+        return b"".join(self._stretches.all(parts, self._split))
+
+    def _split(self, stretches: list[str]) -> list[bytes]:
+        """Ids of stretches: those that the pattern of common alphabets covers are put together from words."""
+        plain = [s for s in stretches if narrow(s)]
+        words = [PIECES(s) for s in plain]
+        flat = self._words.all([w for ws in words for w in ws], self._library)
+        ids, at = {}, 0
+        for s, ws in zip(plain, words, strict=True):
+            to = at + len(ws)
+            ids[s] = flat[at] if to == at + 1 else b"".join(flat[at:to])
+            at = to
+        if len(ids) < len(stretches):
+            other = [s for s in stretches if s not in ids]
+            ids |= zip(other, self._library(other), strict=True)
+        return [ids[s] for s in stretches]
+
+
+class Cache:
+    """Values of keys, kept for the first ``entries`` keys that come: what is frequent comes early."""
+
+    def __init__(self, entries: int):
+        self.entries = entries
+        self.known: dict[str, bytes] = {}
+
+    def all(self, keys: list[str], make) -> list[bytes]:
+        """The values of all keys; ``make`` gives those of a list of new ones."""
+        got = [*map(self.known.get, keys)]
+        if None in got:
+            at = [i for i, g in enumerate(got) if g is None]
+            new = list({keys[i] for i in at})
+            found = dict(zip(new, make(new), strict=True))
+            for i in at:
+                got[i] = found[keys[i]]
+            if len(self.known) < self.entries:
+                self.known |= {k: v for k, v in found.items() if len(k) <= 64}
+        return got
+
+
+# White space of ASCII, and what of it stands beside a space; other white space beside one.
+BESIDE = tuple(f" {c}" for c in "\t\n\v\f\r ") + tuple(f"{c} " for c in "\t\n\v\f\r")
+BESIDE_WIDE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f]")
+# The pattern of byte-level vocabularies, for characters below U+0100; words go first, as nothing before them begins alike.
+_LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+PIECES = re.compile(rf" ?[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
+#: A single space before other than white space: it belongs to what follows.
+CUT = re.compile(r" (?![\t-\r ]|\Z)")
 
 
 @lru_cache(maxsize=2)
@@ -186,6 +221,11 @@ def write(df: DataFrame, vocabulary: str, path: str, end_id: int = 2, sample_doc
     dictionary = train(samples)
     shared = spark.sparkContext.broadcast(dictionary)  # 64 KB
 
+    # Ranges of ids with about the same number of rows each; an id that fills several ranges is spread over them by a hash.
+    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = source.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 100 * ranges).alias("e")).first().e
+    edges = np.array(edges or [], np.int64)
+
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, zipper = encoder(vocabulary), codec(shared.value)[0]
         sizes, frames = [], []
@@ -193,15 +233,16 @@ def write(df: DataFrame, vocabulary: str, path: str, end_id: int = 2, sample_doc
             ids = own.encode(t) + end
             sizes.append(len(ids) // 4)
             frames.append(zipper.compress(planes(ids)))
-        return pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(frames, pa.binary())], names=["id", "n", "frame"])
-
-    staged = scratch_path(spark, "frames")
-    kind = source.schema["id"].dataType.simpleString()
-    map_arrow(source, [F.col("id"), F.col("text")], encode, f"id {kind}, n bigint, frame binary").write.option("compression", "none").parquet(staged)
+        tie = np.array([zlib.crc32(f) for f in frames], np.int64)
+        known = np.asarray(batch.column(0).is_valid())
+        doc = np.asarray(batch.column(0).fill_null(NO_ID), np.int64)
+        low, high = np.searchsorted(edges, doc, "left"), np.searchsorted(edges, doc, "right")
+        place = np.where(known, 1 + low + ((high - low + 1) * tie >> 32), 0)
+        return pa.record_batch([pa.array(place), batch.column(0), pa.array(tie), pa.array(sizes, pa.int64()), pa.array(frames, pa.binary())], names=["part", "id", "tie", "n", "frame"])
 
     def shards(batches):
-        part = uuid.uuid4().hex
-        ids, sizes, frames, held, start, seq = [], [], [], 0, 0, 0
+        """Rows in order; a shard holds rows of one range, and its number of ids before it within the range is kept."""
+        part, ids, sizes, frames, held, start, seq = None, [], [], [], 0, 0, 0
 
         def flush():
             nonlocal ids, sizes, frames, held, start, seq
@@ -211,36 +252,36 @@ def write(df: DataFrame, vocabulary: str, path: str, end_id: int = 2, sample_doc
             return pa.RecordBatch.from_pylist([row], schema=SHARD_SCHEMA)
 
         for batch in batches:
-            for d, n, f in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for p, d, n, f in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if ids and (p != part or held >= SHARD_BYTES or len(ids) >= SHARD_DOCS):
+                    yield flush()
+                if p != part:
+                    part, start, seq = p, 0, 0
                 ids.append(d)
                 sizes.append(n)
                 frames.append(f)
                 held += len(f)
-                if held >= SHARD_BYTES or len(ids) >= SHARD_DOCS:
-                    yield flush()
         if ids:
             yield flush()
 
-    frames = spark.read.schema(f"id {kind}, n bigint, frame binary").parquet(staged)
-    ranges = frames.withColumn("tie", F.xxhash64("frame")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "frame")
-    ranges.select("id", "n", "frame").mapInArrow(shards, "part string, seq bigint, first bigint, start bigint, n_docs bigint, n_ids bigint, shard binary").write.option("compression", "none").parquet(f"{path}/shards")
+    kind = source.schema["id"].dataType.simpleString()
+    frames = map_arrow(source, [F.col("id"), F.col("text")], encode, f"part bigint, id {kind}, tie bigint, n bigint, frame binary")
+    placed = frames.repartition("part").sortWithinPartitions("part", "id", "tie", "frame").select("part", "id", "n", "frame")
+    placed.mapInArrow(shards, "part bigint, seq bigint, first bigint, start bigint, n_docs bigint, n_ids bigint, shard binary").write.option("compression", "none").parquet(f"{path}/shards")
     spark.createDataFrame([(dictionary, dictionary_hash(dictionary))], "dictionary binary, hash binary").coalesce(1).write.parquet(f"{path}/dictionary")
     return dictionary
 
 
-SHARD_SCHEMA = pa.schema([("part", pa.string()), ("seq", pa.int64()), ("first", pa.int64()), ("start", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("shard", pa.binary())])
+SHARD_SCHEMA = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("first", pa.int64()), ("start", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("shard", pa.binary())])
 
 
 def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """Per document of the shards at ``path``: ``doc_id``, ``start``, ``n_tokens``, and ``ids`` or, for ``digest``, ``ids_crc32``."""
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first().dictionary)
     shards = spark.read.parquet(f"{path}/shards")
-    # One row for each range; the ranges are in order of id, and within one id of the tie, as their first rows are.
-    parts = shards.groupBy("part").agg(F.min_by("first", "seq").alias("first"), F.max_by(F.struct("first", "seq"), "seq").alias("last"), F.sum("n_ids").alias("n")).collect()
-    low = NO_ID - 1
-    parts.sort(key=lambda x: (low if x.first is None else x.first, low if x.last["first"] is None else x.last["first"]))
+    # One row for each range that has rows; ranges are numbered in order of id, and within one id of the tie.
     base, at = {}, 0
-    for x in parts:
+    for x in sorted(shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):
         base[x.part], at = at, at + x.n
 
     def run(batch: pa.RecordBatch):

@@ -51,3 +51,15 @@ def test_query_on_the_small_table(spark):
     got = op9_tokenio(spark, at)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert sorted(map(tuple, got.collect())) == want(docs)
+
+
+def test_one_id_with_most_rows_is_spread(spark, tmp_path):
+    rows = [(7, f"text {i % 90} again") for i in range(900)] + [(i, "x") for i in range(5)] + [(100, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tokenio.write(df, PATH, str(tmp_path / "hot"))
+    shards = spark.read.parquet(str(tmp_path / "hot/shards"))
+    assert shards.groupBy("part").sum("n_docs").count() > 5
+    got = sorted(map(tuple, tokenio.read(spark, str(tmp_path / "hot"), digest=True).collect()), key=lambda x: x[1])
+    assert [x[0] for x in got] == sorted(d for d, _ in rows)
+    assert [x[1] for x in got[1:]] == [x[1] + x[2] for x in got[:-1]]
+    assert sorted(x[3] for x in got) == sorted(x[3] for x in want(rows))
