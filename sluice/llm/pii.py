@@ -26,7 +26,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sluice.llm._common import map_arrow, texts
+from sluice.llm._common import map_arrow, narrow, texts
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -235,15 +235,33 @@ def at_and_dot(tape: Tape) -> Tape:
     return tape
 
 
-def suspicious(text: str) -> bool:
-    """Whether a transducer would change anything."""
-    return (not text.isascii() and strange().search(text) is not None) or HAS_AT_DOT.search(text) is not None or HAS_SPELLED.search(text) is not None or AMONG_DIGITS.search(text) is not None
+#: ASCII in lower case, with a space for all but letters and digits; a byte set apart for digits.
+_WORDS = bytes((b + 32 if 65 <= b <= 90 else b) if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+_NO_DIGITS = bytes(b for b in range(256) if not 48 <= b <= 57)
+_CUES = frozenset(w.encode() for w in [*DIGIT_WORDS, *_DOTS.split("|")])
+IN_BRACKETS = re.compile(rf"[\[({{<]\s{{0,3}}(?:[aA][tT]|@|[aA][rR]{{2}}[oO][bB][aA]|(?i:{_DOTS})|\.)\s{{0,3}}[\])}}>]")
+DIGIT_LIKE = re.compile(r"[0-9][ .()-]{0,2}[OolI|]{1,4}[ .()-]?[0-9]")
+
+
+def cues(text: str, raw: bytes) -> bool:
+    """Whether a transducer might change anything. ``raw``: the text in UTF-8."""
+    if not text.isascii():
+        if narrow(text):
+            if "\xa0" in text or "\xad" in text or "·" in text:
+                return True
+        elif strange().search(text):
+            return True
+    if not _CUES.isdisjoint(raw.translate(_WORDS).split()) and (HAS_AT_DOT.search(text) or HAS_SPELLED.search(text)):
+        return True
+    return ("[" in text or "(" in text or "{" in text or "<" in text) and IN_BRACKETS.search(text) is not None
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: by kind, then start, then end."""
-    base = detect(text)
-    if not suspicious(text):
+    raw = text.encode("utf-8", "surrogatepass")
+    digits = bool(raw.translate(None, _NO_DIGITS))
+    base = detect(text) if digits or "@" in text else []
+    if not (digits and DIGIT_LIKE.search(text)) and not cues(text, raw):
         return base, base
     found = dict.fromkeys(base)
     tape = Tape.of(text)
