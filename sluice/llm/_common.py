@@ -7,6 +7,7 @@ intermediate tables go to the shared folder that the session names in ``spark.ch
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# A task has one core: the tokenizers library's threads would only wait for one another there.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 #: Rows handed to a Python worker at once are regrouped into chunks of about this many characters.
 CHUNK_CHARS = 4_000_000
 
