@@ -13,7 +13,7 @@ Such parts inside it are left out, as are scripts, styles and markup. A page wit
 its own article, main or body. Nothing else is dropped: repeated paragraphs stay.
 
 Defined results: null and empty html give an empty text; rows with a null url share a host; html that breaks off is read as
-far as it goes; repeated rows give repeated rows; an empty table gives an empty result; other columns are not looked at.
+far as it goes; containers count however deep they are nested; repeated rows give repeated rows; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(script|style|noscript|template|svg|if
 ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_WORDS = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
-MAX_DEPTH = 64
+# Paths of containers nested deeper, and labels of more characters, are written as hashes.
+MAX_DEPTH, MAX_LABEL = 64, 256
 
 
 def events(html: str) -> Iterator[tuple[str, str, str]]:
@@ -79,12 +80,28 @@ def is_head(label: str) -> bool:
     return name == "header" or bool(set(NAME_WORDS.findall(names)) & HEADS)
 
 
+def path_of(up: str, label: str, depth: int) -> str:
+    """The path of a container below ``up``: its labels, or below MAX_DEPTH its depth, a hash of them, and its own label."""
+    if len(label) > MAX_LABEL:
+        label = f"{label.partition('.')[0]}.#{_hash(label)}"
+    return f"{up}/{label}" if depth <= MAX_DEPTH else f"/#{depth}#{_hash(up + '/' + label)}/{label}"
+
+
+def _hash(text: str) -> str:
+    return xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def depth_of(path: str) -> int:
+    return int(path[2:].partition("#")[0]) if path.startswith("/#") else path.count("/")
+
+
 def pieces(html: str) -> Iterator[tuple[str, str, bool, bool]]:
     """(kind, path or text, boilerplate, article): the container events with their paths, and text with block breaks as spaces.
 
     An end tag closes the nearest open container of its name, if there is one; open ones inside it are closed with it.
     """
     stack: list[tuple[str, str, bool, bool]] = []  # name, path, boilerplate here or above, article here or above
+    opened: dict[str, int] = {}
     head = False
     for kind, name, value in events(html):
         if kind == "text":
@@ -95,17 +112,17 @@ def pieces(html: str) -> Iterator[tuple[str, str, bool, bool]]:
         elif kind != "raw" and name in CONTAINERS:
             head = False
             if kind == "start":
-                if len(stack) >= MAX_DEPTH:
-                    continue
                 label, other, main = role(name, value)
                 up = stack[-1] if stack else ("", "", False, False)
                 if is_head(label) and not up[3]:
                     other = True
-                stack.append((name, f"{up[1]}/{label}", up[2] or other, up[3] or main))
+                opened[name] = opened.get(name, 0) + 1
+                stack.append((name, path_of(up[1], label, len(stack) + 1), up[2] or other, up[3] or main))
                 yield "start", *stack[-1][1:]
-            elif any(s[0] == name for s in stack):
+            elif opened.get(name):
                 while True:
                     last = stack.pop()
+                    opened[last[0]] -= 1
                     yield ("end" if last[0] == name else "lost"), *last[1:]
                     if last[0] == name:
                         break
@@ -123,27 +140,34 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+PRIME, BASE = 2**61 - 1, 0x9E3779B97F4A7C1 % (2**61 - 1)
+
+
 def _profile(html: str) -> dict[str, list]:
-    """By container path: starts, ends, characters of text inside, hash of that text, flags."""
+    """By container path: starts, ends, characters of text inside, hash of that text, flags, and of deep ones the path they stand in.
+
+    The hash is that of a range of the page's texts, from sums up to its two ends, so deep nests take no longer.
+    """
     out: dict[str, list] = {}
     open_: list[tuple[str, int, int]] = []
-    size, seen = 0, []
+    size, sums, powers = 0, [0], [1]
     for kind, value, other, main in pieces(html):
         if kind == "text":
             flat = "".join(value.split())
             size += len(flat)
             if flat:
-                seen.append(xxhash.xxh64_intdigest(flat.encode("utf-8", "surrogatepass")))
+                sums.append((sums[-1] * BASE + xxhash.xxh64_intdigest(flat.encode("utf-8", "surrogatepass"))) % PRIME)
+                powers.append(powers[-1] * BASE % PRIME)
         elif kind == "start":
-            row = out.setdefault(value, [0, 0, 0, 0, other, main])
+            row = out.setdefault(value, [0, 0, 0, 0, other, main, open_[-1][0] if value.startswith("/#") else ""])
             row[0] += 1
-            open_.append((value, size, len(seen)))
+            open_.append((value, size, len(sums) - 1))
         else:
             path, began, first = open_.pop()
             row = out[path]
             row[1] += kind == "end"
             row[2] += size - began
-            row[3] = xxhash.xxh64_intdigest(" ".join(map(str, seen[first:])).encode())
+            row[3] = (sums[-1] - sums[first] * powers[len(sums) - 1 - first]) % PRIME
     return out
 
 
@@ -153,23 +177,23 @@ def _counts(batch: pa.RecordBatch) -> pa.RecordBatch:
     for key, url, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
         host = host_of(url)
         page = f"{key} {xxhash.xxh64_intdigest((html or '').encode('utf-8', 'surrogatepass'))} "
-        tokens = {"": (1, 0, 0, False, False)}
-        for path, (starts, ends, chars, text, other, main) in _profile(html or "").items():
-            tokens["+" + path] = (starts, chars, text, other, main)
-            tokens["-" + path] = (ends, 0, 0, other, main)
-        for token, (n, chars, text, other, main) in tokens.items():
+        tokens = {"": (1, 0, 0, False, False, "")}
+        for path, (starts, ends, chars, text, other, main, up) in _profile(html or "").items():
+            tokens["+" + path] = (starts, chars, text, other, main, up)
+            tokens["-" + path] = (ends, 0, 0, other, main, up)
+        for token, (n, chars, text, other, main, up) in tokens.items():
             if n:
                 h = xxhash.xxh64_intdigest(f"{page}{n}")
-                row = rows.setdefault((host, token), [0, 0, 0, 0, 0, text >> 1, text >> 1, other, main])
+                row = rows.setdefault((host, token), [0, 0, 0, 0, 0, text >> 1, text >> 1, other, main, up])
                 row[0] += 1
                 row[1] += n == 1
                 row[2] += h & 0x7FFFFFFF
                 row[3] += h >> 33
                 row[4] += chars
                 row[5], row[6] = min(row[5], text >> 1), max(row[6], text >> 1)
-    names = ["pages", "once", "v1", "v2", "chars", "low", "high", "other", "main"]
-    cols = [*zip(*rows.values(), strict=True)] or [[]] * 9
-    arrays = [pa.array(c, pa.int64() if k < 7 else pa.bool_()) for k, c in enumerate(cols)]
+    names = ["pages", "once", "v1", "v2", "chars", "low", "high", "other", "main", "up"]
+    cols = [*zip(*rows.values(), strict=True)] or [[]] * 10
+    arrays = [pa.array(c, pa.int64() if k < 7 else pa.bool_() if k < 9 else pa.string()) for k, c in enumerate(cols)]
     return pa.record_batch([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.string()), *arrays], names=["host", "token", *names])
 
 
@@ -178,14 +202,15 @@ def templates(pages: DataFrame, support: float = 0.6) -> DataFrame:
 
     ``support``: the share of a host's pages in which a valid token occurs, once in most of them.
     """
-    kinds = "host string, token string, pages bigint, once bigint, v1 bigint, v2 bigint, chars bigint, low bigint, high bigint, other boolean, main boolean"
+    kinds = "host string, token string, pages bigint, once bigint, v1 bigint, v2 bigint, chars bigint, low bigint, high bigint, other boolean, main boolean, up string"
     sums = map_arrow(pages, [F.col("key"), F.col("url"), F.col("html")], _counts, kinds)
-    tokens = sums.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "once", "v1", "v2", "chars")), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("other").alias("other"), F.bool_or("main").alias("main"))
+    tokens = sums.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "once", "v1", "v2", "chars")), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("other").alias("other"), F.bool_or("main").alias("main"), F.max("up").alias("up"))
     tokens = written(tokens, "page-tokens")
     hosts = tokens.where("token = ''").select("host", F.col("pages").alias("all"))
-    # At most 1 / support times the tokens of a page are left for a host.
-    valid = tokens.where("token <> ''").join(hosts, "host").where((F.col("pages") >= support * F.col("all")) & (F.col("once") >= 0.8 * F.col("pages")))
-    classed = valid.select("host", F.struct("token", F.concat_ws(":", "pages", "v1", "v2").alias("cls"), "pages", "chars", (F.col("low") != F.col("high")).alias("varies"), "other", "main").alias("t"))
+    # At most 1 / support times the tokens of a page are left for a host. Starts of deep containers that are not valid stay, marked, as steps up.
+    often = tokens.where("token <> ''").join(hosts, "host").where(F.col("pages") >= support * F.col("all"))
+    deep, once = F.col("token").startswith("+/#"), F.col("once") >= 0.8 * F.col("pages")
+    classed = often.where(once | deep).select("host", F.struct("token", F.concat_ws(":", "pages", "v1", "v2").alias("cls"), "pages", "chars", (F.col("low") != F.col("high")).alias("varies"), "other", "main", F.when(deep, F.col("up")).alias("up"), F.when(~once, True).alias("step")).alias("t"))
     return classed.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list("t"))).alias("template"))
 
 
@@ -193,12 +218,27 @@ def templates(pages: DataFrame, support: float = 0.6) -> DataFrame:
 def article_path(template: str | None) -> str | None:
     """The container of the template that holds the article: its slot is what lies between its start and its end."""
     rows = [t for t in json.loads(template)] if template else []
+    up = {t["token"][1:]: t["up"] for t in rows if t.get("up")}
+    rows = [t for t in rows if not t.get("step")]
+
+    def within(t: dict, u: dict) -> bool:
+        """Whether the container of token ``t`` stands in that of ``u``."""
+        a, b = t["token"][1:], u["token"][1:]
+        if b.startswith("/#"):
+            least = depth_of(b)
+            while a in up and depth_of(a) > least:
+                a = up[a]
+            return a == b and t["token"] != u["token"]
+        while a in up:
+            a = up[a]
+        return a.startswith(b + "/") or (a == b and t["token"] != u["token"])
+
     ends = {t["token"][1:]: t["cls"] for t in rows if t["token"][0] == "-"}
     starts = [t for t in rows if t["token"][0] == "+" and not t["other"]]
     # A start and an end of one class come first; where pages break off, the end's class is a smaller one.
     named = sorted((t for t in starts if t["main"]), key=lambda t: (ends.get(t["token"][1:]) != t["cls"], -t["chars"], t["token"]))
     if named:
-        outermost = [t for t in named if not any(u is not t and t["token"].startswith(u["token"] + "/") for u in named)]
+        outermost = [t for t in named if not any(u is not t and within(t, u) for u in named)]
         inner = [t for t in named if t["token"].rpartition("/")[2].startswith("article")]
         return (inner or outermost)[0]["token"][1:]
     varying = [t for t in starts if t["varies"]] or starts
@@ -206,10 +246,10 @@ def article_path(template: str | None) -> str | None:
         return None
     # Characters that vary: those of a container less its outermost constant and boilerplate parts.
     rest = [t for t in rows if t["token"][0] == "+" and (t["other"] or not t["varies"])]
-    rest = [t for t in rest if not any(t["token"].startswith(u["token"] + "/") for u in rest)]
-    own = {t["token"]: t["chars"] - sum(u["chars"] for u in rest if u["token"].startswith(t["token"] + "/")) for t in varying}
+    rest = [t for t in rest if not any(within(t, u) for u in rest)]
+    own = {t["token"]: t["chars"] - sum(u["chars"] for u in rest if within(u, t)) for t in varying}
     most = max(own.values())
-    return max((t for t in own if own[t] >= 0.7 * most), key=lambda t: (t.count("/"), own[t], t))[1:]
+    return max((t for t in own if own[t] >= 0.7 * most), key=lambda t: (depth_of(t[1:]), own[t], t))[1:]
 
 
 def main_text(html: str, path: str | None) -> str:

@@ -65,3 +65,15 @@ def test_query_on_the_small_table(spark):
     for x in rows:
         inner = re.search(r"<article>(.*?)(</article>|$)", pages[x.page_id], re.S).group(1)
         assert x.text == " ".join(html.unescape(re.sub(r"</?(b)>", "", re.sub(r"</?(p|br|h1)>", " ", inner))).split())
+
+
+def test_text_after_deep_nests_stays():
+    page = "<body><div id=page><article><p>one</p>" + "<div>" * 100 + "in" + '<div class="menu">no</div>' + "</div>" * 100 + "<p>two</p></article></div><div>foot</div></body>"
+    assert htmltext.main_text(page, None) == "one in two"
+
+
+def test_an_article_without_marks_is_found_at_any_depth(spark):
+    page = "<body>" + "<div>" * 70 + '<div class="w"><div class="m"><div class="n">Home About, a long constant line of words that never changes here at all</div></div><div id="story"><p>{1}</p></div></div>' + "</div>" * 70 + "<div>end</div></body>"
+    got = run(spark, [(f"https://b.example.com/{i}", page.format(i, f"w{i} x y z " * (5 + i))) for i in range(6)])
+    for i in range(6):
+        assert got[i][0] == " ".join((f"w{i} x y z " * (5 + i)).split())
