@@ -41,8 +41,15 @@ BOILERPLATE = frozenset("nav footer aside form".split())
 PARTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner comment comments reply replies respond disqus sidebar side menu menus nav navbar navigation navi breadcrumb breadcrumbs footer foot masthead notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget widgets pagination pager toolbar skip".split())
 HEADS = frozenset("header head top".split())
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|button|title|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"<]{0,4000}\"|'[^'<]{0,4000}')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^<>]*(?:>|\Z)", re.S | re.I)
-ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+# A tag's attributes: values in quotes, of any length and with any sign; other values; else anything but the signs that end or begin a tag.
+_ATTRS = r"(?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=\s*+[^\s<>\"'][^\s<>]*+|=)*+"
+# Comments; tags; tags of containers that the next tag cuts off; other markup.
+TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)({_ATTRS})(?:>|\Z)|<(/?)({'|'.join(sorted(CONTAINERS))})(?![A-Za-z0-9:-])({_ATTRS})(?=<)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+# Raw elements: those that run to the end of the page where no end tag follows; those that hold no tags; the others can be nested.
+SCRIPTS, TEXTS = ("script", "style"), ("title", "textarea", "iframe")
+TAGS = {name: re.compile(rf"<(/?){name}(?![A-Za-z0-9:-])[^>]*(?:>|\Z)", re.I) for name in TEXTS}
+ENDS = {name: re.compile(rf"</{name}(?![A-Za-z0-9:-])[^>]*(?:>|\Z)", re.I) for name in SCRIPTS}
+ATTR = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 NAME_WORDS = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
 # Paths of containers nested deeper, and labels of more characters, are written as hashes.
@@ -50,24 +57,58 @@ MAX_DEPTH, MAX_LABEL = 64, 256
 
 
 def events(html: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name, value): text, and start and end tags of containers and blocks; raw elements and comments are left out."""
-    done = 0
-    for m in TOKEN.finditer(html):
-        if m.start() > done:
-            yield "text", "", html[done : m.start()]
-        done = m.end()
-        if m.group(3):
-            yield ("end" if m.group(2) else "start"), m.group(3).lower(), m.group(4)
-        elif m.group(1):
-            yield "raw", m.group(1).lower(), ""
+    """(kind, name, value): text, and start and end tags of containers and blocks; raw elements and comments are left out.
+
+    A raw element that is self-closed, or has no end tag of its own, is empty; scripts and styles without one run to the end of the page.
+    """
+    tags: list[tuple[int, int, str, str, str]] = []  # from, to, kind, name, attributes
+    until: dict[int, int] = {}  # of nested raw elements, the tag that ends each
+    open_: dict[str, list[int]] = {}
+    at = 0
+    while m := TOKEN.search(html, at):
+        at = m.end()
+        name = (m.group(2) or m.group(5) or "").lower()
+        kind = "end" if m.group(1) or m.group(4) else "start"
+        value = m.group(3) or m.group(6) or ""
+        if name in RAW and name != "head":
+            if kind == "end":
+                if open_.get(name):
+                    until[open_[name].pop()] = len(tags)
+            elif not value.endswith("/"):
+                if name in SCRIPTS:
+                    end = ENDS[name].search(html, at)
+                    at = end.end() if end else len(html)
+                elif name in TEXTS:
+                    end = TAGS[name].search(html, at)
+                    at = end.end() if end and end.group(1) else at
+                else:
+                    open_.setdefault(name, []).append(len(tags))
+            kind = "raw"
+        tags.append((m.start(), at, kind, name, value))
+    done = k = 0
+    while k < len(tags):
+        a, b, kind, name, value = tags[k]
+        if a > done:
+            yield "text", "", html[done:a]
+        k = until.get(k, k)
+        done = tags[k][1]
+        if name:
+            yield kind, name, value
+        k += 1
     if done < len(html):
         yield "text", "", html[done:]
 
 
-@lru_cache(maxsize=4096)
 def role(name: str, attributes: str) -> tuple[str, bool, bool]:
     """A container's label (name, classes and id without digits); whether it is boilerplate; whether it is the article."""
-    found = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTR.findall(attributes)} if attributes else {}
+    return _role(name, attributes) if len(attributes) <= 1000 else _role.__wrapped__(name, attributes)
+
+
+@lru_cache(maxsize=4096)
+def _role(name: str, attributes: str) -> tuple[str, bool, bool]:
+    found: dict[str, str] = {}
+    for k, a, b, c in ATTR.findall(attributes):
+        found.setdefault(k.lower(), (a or b or c).lower())
     names = DIGITS.sub("", f"{found.get('class', '')} {found.get('id', '')}").strip()
     words = set(NAME_WORDS.findall(names))
     main = name in ("article", "main") or found.get("role") in ("main", "article") or "articlebody" in found.get("itemprop", "")

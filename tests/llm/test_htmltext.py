@@ -77,3 +77,33 @@ def test_an_article_without_marks_is_found_at_any_depth(spark):
     got = run(spark, [(f"https://b.example.com/{i}", page.format(i, f"w{i} x y z " * (5 + i))) for i in range(6)])
     for i in range(6):
         assert got[i][0] == " ".join((f"w{i} x y z " * (5 + i)).split())
+
+
+def test_text_beside_odd_tags_stays(spark):
+    inner = {
+        "long": ('<div data-x="' + "a" * 5000 + '">in</div>', "in"),
+        "less": ('<div title="a<b>c">in</div>', "in"),
+        "json": ("<div data-x='{\"class\": \"<p class=ad>\"}'>in</div>", "in"),
+        "cut": ("<div class=x <p>in</p></div>", "in"),
+        "quote": ('<div title="a"b">in</div> <a href="x">out</a>', "in out"),
+        "svg": ('<svg width="1"/>in', "in"),
+        "button": ("<button>in", "in"),
+        "canvas": ("<canvas>in<canvas>no</canvas>", "in"),
+        "nested": ("<object>no<object>no</object>no</object>in", "in"),
+        "title": ("<select>in<div><select><option>no</select></div>", "in"),
+        "script": ("<script>if (a<b) '<div>'</script >in<style>x</style>", "in"),
+    }
+    rows = [(f"http://{i}.x/", f"<body><div id=page><article><p>one</p>{h}<p>two</p></article></div><div>foot</div></body>") for i, (h, _) in enumerate(inner.values())]
+    got = run(spark, rows)
+    for i, (k, (_, t)) in enumerate(inner.items()):
+        assert got[i][0] == f"one {t} two", k
+
+
+def test_deep_nests_take_linear_time():
+    import time
+
+    start = time.time()
+    page = "<div>x" * 50_000 + "</td>" * 50_000 + "</div>" * 50_000 + "<button>" * 20_000 + "<title>" * 20_000 + '<p a="' * 20_000
+    assert htmltext.main_text(page, None).startswith("x x")
+    htmltext._profile(page)
+    assert time.time() - start < 20
