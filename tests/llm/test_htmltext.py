@@ -107,3 +107,46 @@ def test_deep_nests_take_linear_time():
     assert htmltext.main_text(page, None).startswith("x x")
     htmltext._profile(page)
     assert time.time() - start < 20
+
+
+def neutral(page):
+    """A page without the names that tell what its parts are: all containers are divs, nothing has a class or id."""
+    return re.sub(r"<(/?)(?:nav|article|footer|aside|header|section|main)\b[^>]*>", r"<\1div>", re.sub(r"<div[^>]*>", "<div>", page))
+
+
+def test_structure_alone_gives_the_text_of_marked_pages(spark):
+    at = "/root/testdata/sf0.01/pages.parquet"
+    pages = spark.read.parquet(at)
+    want = {x.page_id: x.text for x in htmltext.extract(pages).collect()}
+    rows = [(x.page_id, x.url, neutral(x.html)) for x in pages.collect()]
+    bare = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in htmltext.extract(bare).collect()}
+    assert sum(got[k] == want[k] for k in want) >= 0.95 * len(want)
+    alone = sum(htmltext.main_text(h, None) == want[k] for k, _, h in rows)
+    assert alone < 0.1 * len(want)
+
+
+def test_classes_decide_which_container_is_the_article(spark):
+    """A container that only some pages have holds most of the text, but the most frequent class decides."""
+    part = "<div id=extra><p>{1}</p></div>"
+    page = "<body><div class=a>{0}</div><div class=w><p>start {0}</p>%s<p>end {0}</p></div></body>"
+    rows = [(f"http://k.l/{i}", (page % (part if i % 4 else "")).format(i, f"w{i} x y z " * 30)) for i in range(12)]
+    got = run(spark, rows)
+    for i in range(12):
+        assert got[i][0] == " ".join(f"start {i} {f'w{i} x y z ' * 30 if i % 4 else ''} end {i}".split())
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "key long, url string, html string")
+    import json
+
+    known = json.loads(htmltext.templates(df).first().template)
+    right = htmltext.slots(json.dumps(known))
+    assert right[0].endswith("div.w") and htmltext.slots(json.dumps([t | {"cls": "same"} for t in known]))[0] != right[0]
+
+
+def test_constant_slots_are_template(spark):
+    page = "<body><div class=x><div class=one>always the same words here</div><p>{0}</p><div class=two>{0} too</div></div></body>"
+    rows = [(f"http://k.l/{i}", page.format(f"text {i} " * 9)) for i in range(4)]
+    got = run(spark, rows)
+    assert [got[i][0] for i in range(4)] == [" ".join(f"{f'text {i} ' * 9} {f'text {i} ' * 9} too".split()) for i in range(4)]
+    # Copies of one page beside another do not make a slot constant.
+    got = run(spark, [("http://m.n/1", page.format("same page"))] * 5 + [("http://m.n/2", page.format("other page"))])
+    assert got[0][0] == "always the same words here same page same page too"
