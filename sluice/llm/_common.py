@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -111,3 +113,10 @@ def narrow(text: str) -> bool:
     except UnicodeEncodeError:
         return False
     return True
+
+
+@lru_cache(maxsize=1)
+def letter_runs() -> re.Pattern:
+    """Runs of letters, by Unicode category: numbers that are no decimal digits, as fractions and Roman numerals, are none."""
+    numbers = [c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L"]
+    return re.compile(f"[^\\W\\d_{''.join(numbers)}]+")

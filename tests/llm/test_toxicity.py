@@ -77,3 +77,49 @@ def test_held_out_accuracy(spark):
     print(len(held), sum(y for _, y in held), caught, wrong)
     assert caught / sum(y for _, y in held) > 0.85
     assert wrong / sum(1 - y for _, y in held) < 0.02
+
+
+def test_whole_texts_are_learned_from_and_odd_labels_are_defined(spark):
+    t = some_tagger()
+    assert len(toxicity._windows(t, "bad a b c d e f g h i j " * 100, 1)) == 101
+    empty = spark.createDataFrame([(i, "12 34") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert len({x.score for x in toxicity.score(empty, toxicity.train(empty, labels)).collect()}) == 1
+    wordless = spark.createDataFrame([(i, f"{i}") for i in range(40)], "doc_id long, text string")
+    assert len({x.score for x in toxicity.score(wordless, toxicity.train(wordless, labels)).collect()}) == 1
+    # Of conflicting labels the larger counts, for ids and for equal texts, in any order of rows.
+    rows = [(i, f"{'vile thing' if i % 2 else 'nice thing'} n{i // 2}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = [(i, i % 2) for i in range(200)] + [(i, 0) for i in range(1, 200, 2)]
+    scores = [sorted(map(tuple, toxicity.score(df, toxicity.train(df, spark.createDataFrame(m, "doc_id long, toxic int"))).collect())) for m in (marks, marks[::-1])]
+    assert scores[0] == scores[1] and all(r[3] == r[0] % 2 for r in scores[0])
+
+
+def test_letters_are_those_of_unicode():
+    assert toxicity.letter_runs().findall("ab²½①Ⅷc_d1é ٣я") == ["ab", "c", "d", "é", "я"]
+
+
+def test_query_against_a_plain_chain(spark):
+    """The whole query on a small table: each score from a chain that walks token by token."""
+    at = "/root/testdata/sf0.001"
+    docs = {x.doc_id: x.text or "" for x in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    tables = {n: spark.read.parquet(f"{at}/{n}.parquet") for n in ("documents", "labels")}
+    model = toxicity.train(tables["documents"], tables["labels"])
+    got = {x.doc_id: x for x in op3_toxicity(spark, at).collect()}
+    assert got.keys() == docs.keys()
+    for k, text in docs.items():
+        words = ["".join(w) for ok, w in itertools.groupby(toxicity.lowered(text), str.isalpha) if ok]
+        seen = [max((model.classes.get(f, 0) for f in toxicity.features(w)), key=lambda c: ((c - 1) % len(toxicity.EDGES), c) if c else (-1, 0)) for w in words]
+        total, top, step = 0.0, 0.0, np.exp(model.move)
+        if any(seen):
+            w = np.exp(np.c_[np.zeros(len(seen)), model.emit[seen]])
+            f, b = [np.exp(model.first) * w[0]], [np.ones(2)]
+            for i in range(1, len(seen)):
+                f.append((f[-1] / f[-1].sum()) @ step * w[i])
+                b.append(step @ (w[-i] * b[-1] / b[-1].sum()))
+            p = np.array(f) * np.array(b[::-1])
+            p = (p[:, 1] / p.sum(axis=1))[np.flatnonzero(seen)]
+            total, top = p.sum(), p.max()
+        z = np.array([1, np.log1p(total), top, np.log1p(1000 * total / max(1, len(seen)))]) @ model.doc if model.doc is not None else None
+        assert np.isclose(got[k].score, 0 if z is None else 1 / (1 + np.exp(-np.clip(z, -30, 30))), atol=1e-9)
+        assert got[k].predicted == (got[k].score >= 0.7)
