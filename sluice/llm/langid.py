@@ -4,8 +4,11 @@ Each known word adds its log frequency in every language. A word that was not le
 (a mark at both ends), of the longest order of which any was learned, and adds their mean log frequency; if none of any
 order is known it adds nothing. The language of the largest sum, with the languages' log shares, is predicted.
 
-The model is learned from a bounded sample of the labelled rows, ``sample_docs``, chosen by a hash of the id; the words and n-grams
-are counted on the executors, whole texts, and the most frequent ``max_words`` and ``max_grams`` go to the driver.
+The model is learned from a bounded sample of the labelled rows, chosen by a hash of id and text: of each language about
+``sample_docs`` divided by the number of languages, more of those that are rare, all of the rarest. Whole texts are counted, on the
+executors, in one pass. A language's dictionary is its ``max_words`` most frequent words and ``max_grams`` most frequent n-grams, so a large
+language takes no place from a small one; what no dictionary holds backs off, as any unseen word. The model has as many entries as the languages'
+dictionaries together and is sent to the tasks only below ``model_bytes``; beyond that learning stops with an error that names the bounds.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the language that comes first by
 name; if nothing could be learned all rows are ``und``; rows with a null id are not held out and not learned from; repeated
@@ -15,7 +18,6 @@ rows give repeated rows; empty tables give empty results; other columns are not
 from __future__ import annotations
 
 import pickle
-import re
 import uuid
 import zlib
 from collections import Counter, defaultdict
@@ -24,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sluice.llm._common import crc32_text, map_arrow, texts
+from sluice.llm._common import crc32_text, letter_runs, map_arrow, texts, written
 
-LETTERS = re.compile(r"[^\W\d_]+")
 #: Orders of character n-grams, tried in this order.
 ORDERS = (5, 4, 3, 2, 1)
 #: Unseen words a worker keeps with their scores; beyond it they are forgotten and scored anew.
@@ -35,7 +37,7 @@ UNSEEN = 200_000
 
 
 def words(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    return letter_runs().findall(text.lower())
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -56,6 +58,8 @@ class Model:
 
     def _logs(self, counts: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
         """Smoothed log shares; each row less its mean, so what says nothing adds nothing."""
+        if not counts:
+            return {}, np.zeros((0, len(self.languages)), np.float32)
         m = np.array([*counts.values()], np.float64).reshape(len(counts), len(self.languages)) + 0.1
         logs = np.log(m / np.maximum(m.sum(axis=0), 1))
         return {k: i for i, k in enumerate(counts)}, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
@@ -102,10 +106,10 @@ class Model:
 
 
 def _count(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Counts of words (order 0) and n-grams by language in a batch of (lang, text)."""
+    """Counts of words (order 0) and n-grams by language in a batch of (lang, text, rows)."""
     by: dict[str, Counter] = defaultdict(Counter)
-    for lang, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-        by[lang].update(words(text))
+    for lang, text, n in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+        by[lang].update(words(text) if n == 1 else {w: n * c for w, c in Counter(words(text)).items()})
     out: dict[tuple[str, int, str], int] = {}
     for lang, count in by.items():
         small: dict[tuple[str, int, str], int] = defaultdict(int)
@@ -119,21 +123,44 @@ def _count(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([*out.values()], pa.int64())], names=["lang", "n", "gram", "c"])
 
 
-def train(df: DataFrame, usable: Column, sample_docs: int = 10_000, max_words: int = 40_000, max_grams: int = 60_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(df: DataFrame, usable: Column, sample_docs: int = 10_000, max_words: int = 40_000, max_grams: int = 60_000, model_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the rows of ``df`` that are ``usable`` and have a language."""
     rows = df.where(usable & df[lang_col].isNotNull() & df[text_col].isNotNull()).select(df[id_col].alias("id"), df[lang_col].cast("string").alias("lang"), df[text_col].alias("text"))
-    share = {x.lang: x.n for x in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(500).collect()}
+    languages_most = model_bytes // (64 * 8)
+    share = {x.lang: x.n for x in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(languages_most + 1).collect()}
+    if len(share) > languages_most:
+        raise ValueError(f"more than {languages_most} languages; raise model_bytes ({model_bytes})")
     languages = sorted(share)
-    part = min(1.0, sample_docs / max(1, sum(share.values())))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < round(part * 1_000_000))
-    counts = map_arrow(sample, [F.col("lang"), F.col("text")], _count, "lang string, n int, gram string, c bigint").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
-    whole = counts.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by")).where("total > 1")
-
-    best = whole.orderBy(F.desc("total"), "n", "gram")
-    found = best.where("n = 0").limit(max_words).unionByName(best.where("n > 0").limit(max_grams)).collect()
+    if not languages:
+        return Model([], np.zeros(0), {}, {})
+    # As many rows of each language as an equal share allows; what small ones leave goes to the others.
+    left, quota = sample_docs, {}
+    for k, g in enumerate(sorted(languages, key=lambda g: (share[g], g))):
+        quota[g] = min(share[g], max(1, left // (len(languages) - k)))
+        left -= quota[g]
+    parts = df.sparkSession.createDataFrame([(g, -(-quota[g] * 1_000_000 // share[g])) for g in languages], "lang string, part bigint")
+    # One number for each language, of which there are ``languages_most`` at most.
+    sample = rows.join(F.broadcast(parts), "lang").where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < F.col("part"))
+    # Copies of a text are added up before they are moved, so that one row's thousand copies stay one.
+    sample = sample.groupBy("lang", "text").agg(F.count("*").alias("rows"))
+    counts = map_arrow(sample, [F.col("lang"), F.col("text"), F.col("rows")], _count, "lang string, n int, gram string, c bigint").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+    counts = written(counts, "lang-counts")
+    kind = (F.col("n") > 0).cast("int").alias("kind")
+    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("c"), "n", "gram"))
+    # The top of each language and kind; Spark cuts each partition to it before the shuffle.
+    words_top = counts.where("n = 0").select("lang", "n", "gram", "c", kind).withColumn("place", place).where(F.col("place") <= max_words)
+    grams_top = counts.where("n > 0").select("lang", "n", "gram", "c", kind).withColumn("place", place).where(F.col("place") <= max_grams)
+    chosen = words_top.unionByName(grams_top).select("n", "gram").distinct()
+    whole = written(counts.join(chosen, ["n", "gram"]).groupBy("n", "gram").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "c")))).alias("by")), "lang-model")
+    size = whole.agg(F.coalesce(F.sum(F.length("gram") + 80 + 4 * len(languages)), F.lit(0)).alias("bytes")).first().bytes
+    if size > model_bytes:
+        raise ValueError(f"a model of {size} bytes for {len(languages)} languages; lower max_words ({max_words}) and max_grams ({max_grams}) or raise model_bytes ({model_bytes})")
+    number = {g: k for k, g in enumerate(languages)}
     by_order: dict[int, dict[str, np.ndarray]] = defaultdict(dict)
-    for x in found:
-        by_order[x.n][x.gram] = np.array([x.by.get(g, 0) for g in languages], np.float64)
+    for x in whole.orderBy("n", "gram").toLocalIterator():
+        row = np.zeros(len(languages))
+        row[[number[g] for g in x.by]] = [*x.by.values()]
+        by_order[x.n][x.gram] = row
     return Model(languages, np.array([share[g] for g in languages], np.float64), by_order.pop(0, {}), dict(by_order))
 
 

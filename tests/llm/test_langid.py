@@ -48,3 +48,61 @@ def test_held_out_accuracy(spark):
     assert len(held) > 100
     assert sum(x.lang_pred == lang[x.doc_id] for x in held) / len(held) > 0.97
     assert all(0 <= x.score <= 1 for x in held)
+
+
+def test_many_languages_and_a_large_one(spark):
+    """Each of 620 languages keeps its words beside one that has most of the rows."""
+    word = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(3)) + "o"
+    rows = [(i, f"{word(i // 2)} {word(i // 2)}x", f"l{i // 2:03}") for i in range(1, 1240)]
+    rows += [(10_000 + i, f"main text {word(i)}q {word(i + 1)}r", "zz") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in langid.identify(df, max_words=50, max_grams=300).collect()}
+    learned = [g for i, _, g in rows if not got[i].held_out and i < 10_000]
+    asked = [(i, g) for i, _, g in rows if got[i].held_out and g in learned and i < 10_000]
+    assert len(set(learned)) > 500 and len(asked) > 100
+    assert sum(got[i].lang_pred == g for i, g in asked) > 0.9 * len(asked)
+    try:
+        langid.identify(df, model_bytes=1 << 18)
+        raise AssertionError("a model over the bound was made")
+    except ValueError as e:
+        assert "model_bytes" in str(e)
+
+
+def test_no_letters_is_und(spark):
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["plain words", "more words", "²½①Ⅷ", "٣٤", "x²"] * 4)], "doc_id long, text string, lang string")
+    got = {x.doc_id: x.lang_pred for x in langid.identify(df).collect()}
+    assert {got[i] for i in range(20) if i % 5 in (2, 3)} == {"und"} and {got[i] for i in range(20) if i % 5 not in (2, 3)} == {"en"}
+
+
+def test_query_against_plain_sums(spark):
+    """The whole query on a small table, word by word: known words, else the longest known n-grams, and the languages' shares."""
+    at = "/root/testdata/sf0.001"
+    df = spark.read.parquet(f"{at}/documents.parquet")
+    docs = {x.doc_id: x for x in df.collect()}
+    used = [x for x in docs.values() if x.lang is not None and x.text is not None and zlib.crc32(str(x.doc_id).encode()) % 5]
+    names = sorted({x.lang for x in used})
+    count = {}
+    for x in used:
+        for w in langid.words(x.text):
+            for n, g in [(0, w), *((n, g) for n in langid.ORDERS for g in langid.grams(w, n))]:
+                row = count.setdefault((n, g), [0] * len(names))
+                row[names.index(x.lang)] += 1
+    total = {n: np.sum([c for (m, _), c in count.items() if m == n], axis=0) + 0.1 * sum(m == n for m, _ in count) for n in range(6)}
+
+    def logs(n, g):
+        v = np.log((np.array(count[n, g]) + 0.1) / total[n])
+        return v - v.mean()
+
+    prior = np.log(np.array([sum(x.lang == g for x in used) for g in names]) / len(used))
+    for x in op5_langid(spark, at).collect():
+        found = langid.words(docs[x.doc_id].text or "")
+        if not found:
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+            continue
+        z = prior.copy()
+        for w in found:
+            n = 0 if (0, w) in count else next((n for n in langid.ORDERS if any((n, g) in count for g in langid.grams(w, n))), None)
+            if n is not None:
+                z += np.mean([logs(n, g) for g in ([w] if n == 0 else langid.grams(w, n)) if (n, g) in count], axis=0)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert x.lang_pred == names[int(np.argmax(p))] and abs(x.score - p.max()) < 1e-3
