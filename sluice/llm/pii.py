@@ -5,7 +5,8 @@ and non-overlapping for each kind. Then transducers rewrite disguises, one after
 other alphabets, characters without width, spelled digits and look-alike letters among digits, and "at" and "dot" in
 brackets or as words. Each transducer keeps a piecewise map to the text before it, so a span that is detected in the
 normalised text is mapped back to the source characters it came from. A span is added if it holds a rewritten character
-and does not lie inside a span of its kind; base spans always stay.
+and does not lie inside a span of its kind; base spans always stay. A sign "@" with spaces around it counts before a domain that ends in a
+short word of small letters; a lone word "at" before a plain domain ("look at example.com") is ordinary prose, and is no disguise.
 
 Every scan is linear in the text: searches start where a match can begin only, and disguises are looked at around their
 brackets and words.
@@ -19,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -198,8 +199,14 @@ def spelled_digits(tape: Tape) -> Tape:
         for m in SPELLED.finditer(tape.text):
             digits = "".join("+" if w.lower() == "plus" else DIGIT_WORDS.get(w.lower(), w) for w in PART.findall(m.group()))
             edits.append((m.start(), m.end(), digits))
-        taken = [(a, b) for a, b, _ in edits]
-        edits += [(m.start(), m.end(), DIGIT_WORDS[m.group().lower()]) for m in ONE_SPELLED.finditer(tape.text) if not any(a < m.end() and m.start() < b for a, b in taken)]
+        edits.sort()
+        starts = [a for a, _, _ in edits]
+        lone = []
+        for m in ONE_SPELLED.finditer(tape.text):
+            k = bisect_left(starts, m.end())  # edits are apart, so only the last one that begins before the word's end can meet it
+            if not k or edits[k - 1][1] <= m.start():
+                lone.append((m.start(), m.end(), DIGIT_WORDS[m.group().lower()]))
+        edits += lone
     return tape.edit(sorted(edits))
 
 
@@ -210,10 +217,13 @@ DOT_IN_BRACKETS = re.compile(rf"(?<=[A-Za-z0-9]){_OPEN}(?:{_DOTS}|\.){_SHUT}(?=[
 DOT_WORD = re.compile(rf"(?<=[A-Za-z0-9])\s{{1,3}}(?:{_DOTS})\s{{1,3}}(?=[A-Za-z0-9])", re.I)
 AT_WORD = re.compile(r"(?<=[A-Za-z0-9._%+-])\s{1,3}(?:at|@|arroba)\s{1,3}(?=[A-Za-z0-9-]{1,63}(\x00|\.))|(?<=[A-Za-z0-9._%+-])\s{0,3}@\s{0,3}(?=[A-Za-z0-9-]{1,63}[\x00.])", re.I)
 HAS_AT_DOT = re.compile(rf"[\[({{<]\s{{0,3}}(?:at|@|arroba|{_DOTS}|\.)\s{{0,3}}[\])}}>]|\s(?:{_DOTS})\s", re.I)
+SPACED_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])(?:\s{1,3}@\s{0,3}|@\s{1,3})(?=[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[a-z]{2,6}(?![\w.-]*[\w]))")
 
 
 def at_and_dot(tape: Tape) -> Tape:
-    """"at" and "dot" in brackets; as words, "at" only before a domain that has a disguised dot."""
+    """"at" and "dot" in brackets; "@" in spaces; as words, "at" only before a domain that has a disguised dot."""
+    if "@" in tape.text:
+        tape = tape.edit([(m.start(), m.end(), "@") for m in SPACED_AT.finditer(tape.text)])
     if not HAS_AT_DOT.search(tape.text):
         return tape
     tape = tape.edit([(m.start(), m.end(), "@") for m in AT_IN_BRACKETS.finditer(tape.text)])
@@ -253,6 +263,8 @@ def cues(text: str, raw: bytes) -> bool:
             return True
     if not _CUES.isdisjoint(raw.translate(_WORDS).split()) and (HAS_AT_DOT.search(text) or HAS_SPELLED.search(text)):
         return True
+    if (" @" in text or "@ " in text) and SPACED_AT.search(text):
+        return True
     return ("[" in text or "(" in text or "{" in text or "<" in text) and IN_BRACKETS.search(text) is not None
 
 

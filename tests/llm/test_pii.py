@@ -83,3 +83,19 @@ def test_query_on_the_small_table(spark):
         base = brute(docs[x.doc_id])
         assert [x.n_email, x.n_ip, x.n_card, x.n_phone] == [sum(s[0] == k for s in base) for k in pii.KINDS]
         assert x.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+
+
+def test_spelled_digits_are_linear():
+    import time
+
+    for text in ["one two three x five dot six and " * 60_000, "nine dot " * 220_000, "a @ b.co, " * 200_000, "see @ you and @ me " * 100_000]:
+        began = time.time()
+        pii.find(text)
+        assert time.time() - began < 25, text[:20]
+
+
+def test_at_signs_in_spaces():
+    assert spans("write to joe @ example.com today") == [("email", "joe @ example.com")]
+    assert spans("joe@ mail.example.com, or jim @mail.example.org") == [("email", "joe@ mail.example.com"), ("email", "jim @mail.example.org")]
+    for text in ["look at example.com now", "5 @ 3.50 each", "meet @ noon.Then go", "we @ home", "x @ y.1"]:
+        assert spans(text) == [], text
