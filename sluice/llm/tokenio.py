@@ -2,21 +2,22 @@
 
 Ids of each document, with an end id after them, are serialized as little-endian unsigned 32-bit integers, split into
 planes of low, middle and high bytes, and compressed as one zstandard frame. The dictionary is trained once on serialized
-arrays of a bounded sample of documents; it changes sizes only, never results. A shard holds some thousand consecutive
+arrays of a bounded sample of documents, whole ones in pieces; it changes sizes only, never results. A shard holds some thousand consecutive
 documents:
 
     magic, version, dictionary hash, number of documents      fixed header
-    doc_id, frame end, number of ids of each document         offset index, three int64 columns
+    doc_id, frame end, number of ids of each document         offset index, three int64 columns; a negative number: no doc_id
     frames                                                    one after another
 
 so a short document is read by a seek to its frame, and a shard that was written with another dictionary is refused by
 the hash. Shards are rows of a table that Spark writes, so any store will do, and lost executors only repeat their
 tasks.
 
-Order. Quantiles of the ids cut them into ranges, four for each shuffle partition, and each range is written in order by one task. Where
-a range's ids begin follows from those of the ranges before it: one number for each range goes to the driver.
+Order. Quantiles of the ids cut them into ranges, one for each ``range_bytes`` of text, four for each shuffle partition at least and
+``MAX_RANGES`` at most, and each range is written in order by one task, which sorts on disk. Where a range's ids begin follows from those of the
+ranges before it: one number for each range goes to the driver.
 
-Defined results: a null text counts as empty and has the end id alone; null doc_ids come first; rows with the same id are
+Defined results: ids are whole numbers of up to 64 bits, another type is refused; a null text counts as empty and has the end id alone; null doc_ids come first; rows with the same id are
 ordered by their frames, so repeated rows give repeated rows; an empty table gives an empty result; other columns are not looked at.
 """
 
@@ -34,17 +35,20 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from sluice.llm._common import map_arrow, narrow, scratch_path, texts
 
-MAGIC, VERSION = b"SLZI", 1
+MAGIC, VERSION = b"SLZI", 2
 HEADER = struct.Struct("<4sI8sQ")
 #: A shard is closed at so many compressed bytes or documents.
 SHARD_BYTES, SHARD_DOCS = 4 << 20, 8192
 #: Entries of each of a worker's two caches.
 CACHE_ENTRIES = 300_000
-NO_ID = -(1 << 63)
+MAX_RANGES = 100_000
+#: Whole arrays of sampled documents come to the dictionary's training in pieces of so many bytes.
+PIECE = 16 << 10
 
 
 class LibraryEncoder:
@@ -172,9 +176,9 @@ def codec(dictionary: bytes, level: int = 3):
 def pack_shard(dictionary: bytes, doc_ids: list[int | None], sizes: list[int], frames: list[bytes]) -> bytes:
     """One shard in the file format."""
     index = np.empty((3, len(frames)), "<i8")
-    index[0] = [NO_ID if d is None else d for d in doc_ids]
+    index[0] = [0 if d is None else d for d in doc_ids]
     index[1] = np.cumsum([len(f) for f in frames])
-    index[2] = sizes
+    index[2] = [-n if d is None else n for d, n in zip(doc_ids, sizes, strict=True)]
     return HEADER.pack(MAGIC, VERSION, dictionary_hash(dictionary), len(frames)) + index.tobytes() + b"".join(frames)
 
 
@@ -187,7 +191,8 @@ class Shard:
             raise ValueError("not a shard of token ids")
         if made_with != dictionary_hash(dictionary):
             raise ValueError("the shard was written with another dictionary")
-        self.doc_ids, self._end, self.sizes = np.frombuffer(data, "<i8", 3 * n, HEADER.size).reshape(3, n)
+        self.doc_ids, self._end, sizes = np.frombuffer(data, "<i8", 3 * n, HEADER.size).reshape(3, n)
+        self.sizes, self.unnamed = np.abs(sizes), sizes < 0
         self._data, self._at, self._unzip = data, HEADER.size + 24 * n, codec(dictionary)[1]
 
     def __len__(self) -> int:
@@ -198,23 +203,27 @@ class Shard:
         return unplanes(self._unzip.decompress(self._data[a : self._at + int(self._end[k])], max_output_size=4 * int(self.sizes[k])))
 
 
-def write(df: DataFrame, vocabulary: str, path: str, end_id: int = 2, sample_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text", sample_bytes: int = 8 << 20) -> bytes:
+def write(df: DataFrame, vocabulary: str, path: str, end_id: int = 2, sample_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text", sample_bytes: int = 8 << 20, range_bytes: int = 16 << 20) -> bytes:
     """Write shards of ``df`` to ``path``; the dictionary, which is stored beside them too, is returned.
 
-    ``sample_docs``, ``sample_bytes``: the bounds of the sample the dictionary is trained on, chosen by a hash of the id.
+    ``sample_docs``, ``sample_bytes``: the bounds of the sample the dictionary is trained on, chosen by hashes of ids and pieces.
     """
     spark = df.sparkSession
+    if not isinstance(df.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{id_col} is {df.schema[id_col].dataType.simpleString()}, not a whole number")
     end = array("I", [end_id]).tobytes()
     source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
 
-    def first_ids(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([planes(encoder(vocabulary).encode(t) + end)[: 16 << 10] for t in texts(batch.column(0))], pa.binary())], names=["raw"])
+    def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
+        every = [planes(encoder(vocabulary).encode(t) + end) for t in texts(batch.column(0))]
+        return pa.record_batch([pa.array([e[at : at + PIECE] for e in every for at in range(0, len(e), PIECE)], pa.binary())], names=["raw"])
 
-    total = source.count()
-    share = min(1.0, 1.2 * sample_docs / max(1, total))
-    chosen = source.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(sample_docs)
+    size = source.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    share = min(1.0, 1.2 * sample_docs / max(1, size.rows))
+    chosen = source.where(F.pmod(F.xxhash64("id", F.col("text")), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(sample_docs)
+    found = map_arrow(chosen, [F.col("text")], pieces, "raw binary").orderBy(F.xxhash64("raw"), "raw").limit(sample_bytes // PIECE * 2)
     samples, held = [], 0
-    for x in map_arrow(chosen, [F.col("text")], first_ids, "raw binary").toLocalIterator():
+    for x in found.collect():
         if held < sample_bytes:
             samples.append(bytes(x.raw))
             held += len(x.raw)
@@ -222,8 +231,10 @@ def write(df: DataFrame, vocabulary: str, path: str, end_id: int = 2, sample_doc
     shared = spark.sparkContext.broadcast(dictionary)  # 64 KB
 
     # Ranges of ids with about the same number of rows each; an id that fills several ranges is spread over them by a hash.
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = source.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 100 * ranges).alias("e")).first().e
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, min(MAX_RANGES, -(-(size.bytes or 0) // range_bytes)))
+    ranges = max(4 * least, tasks)
+    edges = source.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], min(100 * ranges, 1_000_000)).alias("e")).first().e
     edges = np.array(edges or [], np.int64)
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -235,7 +246,7 @@ def write(df: DataFrame, vocabulary: str, path: str, end_id: int = 2, sample_doc
             frames.append(zipper.compress(planes(ids)))
         tie = np.array([zlib.crc32(f) for f in frames], np.int64)
         known = np.asarray(batch.column(0).is_valid())
-        doc = np.asarray(batch.column(0).fill_null(NO_ID), np.int64)
+        doc = np.asarray(batch.column(0).fill_null(0), np.int64)
         low, high = np.searchsorted(edges, doc, "left"), np.searchsorted(edges, doc, "right")
         place = np.where(known, 1 + low + ((high - low + 1) * tie >> 32), 0)
         return pa.record_batch([pa.array(place), batch.column(0), pa.array(tie), pa.array(sizes, pa.int64()), pa.array(frames, pa.binary())], names=["part", "id", "tie", "n", "frame"])
@@ -266,7 +277,7 @@ def write(df: DataFrame, vocabulary: str, path: str, end_id: int = 2, sample_doc
 
     kind = source.schema["id"].dataType.simpleString()
     frames = map_arrow(source, [F.col("id"), F.col("text")], encode, f"part bigint, id {kind}, tie bigint, n bigint, frame binary")
-    placed = frames.repartition("part").sortWithinPartitions("part", "id", "tie", "frame").select("part", "id", "n", "frame")
+    placed = frames.repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int")).sortWithinPartitions("part", "id", "tie", "frame").select("part", "id", "n", "frame")
     placed.mapInArrow(shards, "part bigint, seq bigint, first bigint, start bigint, n_docs bigint, n_ids bigint, shard binary").write.option("compression", "none").parquet(f"{path}/shards")
     spark.createDataFrame([(dictionary, dictionary_hash(dictionary))], "dictionary binary, hash binary").coalesce(1).write.parquet(f"{path}/dictionary")
     return dictionary
@@ -288,7 +299,7 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
         for part, start, data in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True):
             shard = Shard(data, dictionary)
             starts = base[part] + start + np.cumsum(shard.sizes) - shard.sizes
-            docs = pa.array(shard.doc_ids, mask=shard.doc_ids == NO_ID)
+            docs = pa.array(shard.doc_ids, mask=shard.unnamed)
             ids = map(shard.ids, range(len(shard)))
             last = pa.array([zlib.crc32(x) for x in ids], pa.int64()) if digest else pa.array(list(ids), pa.binary())
             yield pa.record_batch([docs, pa.array(starts), pa.array(shard.sizes), last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])

@@ -63,3 +63,23 @@ def test_one_id_with_most_rows_is_spread(spark, tmp_path):
     assert [x[0] for x in got] == sorted(d for d, _ in rows)
     assert [x[1] for x in got[1:]] == [x[1] + x[2] for x in got[:-1]]
     assert sorted(x[3] for x in got) == sorted(x[3] for x in want(rows))
+
+
+def test_ids_of_all_kinds(spark, tmp_path):
+    rows = [(None, "none"), (-(1 << 63), "least"), (0, "zero"), ((1 << 63) - 1, "most")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, tokenio.round_trip(df, PATH).collect()), key=lambda x: x[1]) == want(rows)
+    small = spark.createDataFrame([(3, "b"), (1, "a")], "doc_id byte, text string")
+    assert sorted(map(tuple, tokenio.round_trip(small, PATH).collect())) == want([(1, "a"), (3, "b")])
+    with pytest.raises(TypeError, match="whole number"):
+        tokenio.write(spark.createDataFrame([("x", "a")], "doc_id string, text string"), PATH, str(tmp_path / "t"))
+
+
+def test_tasks_follow_the_bytes(spark, tmp_path):
+    rows = [(i, f"text number {i} " * 20) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tokenio.write(df, PATH, str(tmp_path / "many"), range_bytes=2000)
+    shards = spark.read.parquet(str(tmp_path / "many/shards"))
+    assert shards.groupBy("part").count().count() > 80
+    got = sorted(map(tuple, tokenio.read(spark, str(tmp_path / "many"), digest=True).collect()), key=lambda x: x[1])
+    assert got == want(rows)
