@@ -120,3 +120,32 @@ def letter_runs() -> re.Pattern:
     """Runs of letters, by Unicode category: numbers that are no decimal digits, as fractions and Roman numerals, are none."""
     numbers = [c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L"]
     return re.compile(f"[^\\W\\d_{''.join(numbers)}]+")
+
+
+#: A key of more rows than this is joined by broadcast; at most HUBS keys are, so the bound grows with the rows beyond that.
+HUB_ROWS, HUBS = 10_000, 1_000_000
+
+
+def hub_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None, hub_rows: int = HUB_ROWS) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each ``key``, where some keys may have a large part of ``left``'s rows.
+
+    Rows of such keys are not moved: there are at most HUBS of these keys, and ``right``'s rows for them go to every task. ``counts``
+    (``key``, ``n``) tells how often keys come in ``left``, if that is known more cheaply. The same with or without adaptive execution.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    counts = written(counts.where(F.col("n") > hub_rows), "hub-counts")
+    seen = counts.agg(F.count("*").alias("keys"), F.sum("n").alias("rows")).first()
+    if not seen["keys"]:
+        return left.join(right, key)
+    hubs = counts.where(F.col("n") > seen.rows // HUBS).select(key)
+    found = written(right.join(F.broadcast(hubs), key), "hubs")
+    cold = left.join(F.broadcast(hubs), key, "left_anti").join(right, key)
+    return cold.unionByName(left.join(F.broadcast(found), key))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -9,12 +9,13 @@ start, so copies never make pairs. The 64 bits are laid in blocks: if two finger
 they agree on ``keep`` of ``budget + keep`` blocks, whatever the bits are. For each choice of ``keep`` blocks those are the
 top levels of one binary trie, and a node at that depth is one key of a shuffle: the pairs below a common node are all
 the pairs with no differing bit so far. From there the tasks walk down node pairs together, level by level, adding
-differing bits, and prune a pair of nodes when the budget is exceeded. A node that holds more fingerprints than
-``hot_rows`` is expanded further before the shuffle: its fingerprints go to pairs of deeper nodes that are still within the
-budget, so no task has to hold it whole. Each task returns a forest of its links, not all pairs.
+differing bits, and prune a pair of nodes when the budget is exceeded. A pair of nodes that holds more fingerprints than
+``hot_rows`` is expanded before the shuffle: its fingerprints go to pairs of deeper nodes that both exist and are still within the
+budget. That is repeated on measured sizes until every pair is small, so no task has to hold a hot one whole. Each task returns a forest of its
+links, not all pairs.
 
 Components. Forest edges are contracted by alternating large-star and small-star rounds over written tables, which
-survive lost executors; nothing but counts reaches the driver.
+survive lost executors; nothing but counts reaches the driver. Fingerprints and roots that many rows share are joined by broadcast.
 
 Defined results: null doc_ids are kept and never decide a component's id unless all ids of it are null; repeated rows
 and repeated ids are kept as rows; an empty table gives an empty result; other columns are not looked at.
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._common import map_arrow, texts, written
+from sluice.llm._common import HUBS, free_name, hub_join, map_arrow, texts, written
 
 SEED = 42
 SHINGLE = 4
@@ -161,70 +162,107 @@ def keyed(nodes: DataFrame, blocks: int, keep: int) -> tuple[DataFrame, int]:
     return nodes.select("fp", F.explode(F.array(*ways)).alias("w")).select("fp", "w.t", "w.bits"), top
 
 
+def deal(rows: DataFrame, budget: int, top: int, hot_rows: int, depth: int) -> DataFrame:
+    """Work on node pairs: (``fp``, ``t``, ``bits``, ``size``, ``p``, ``q``): both nodes have ``size`` bits, p <= q, none has more than ``hot_rows``.
+
+    At first each node is paired with itself. What is hot goes down ``depth`` levels, with measured sizes after each step: every fingerprint of
+    it goes to the pairs of its own deeper node with those of its partner that exist within the budget.
+    """
+    node = F.shiftrightunsigned("bits", 64 - top)
+    now = rows.select("fp", "t", "bits", F.lit(top).alias("size"), node.alias("p"), node.alias("q"))
+    pair, done = ["t", "p", "q"], []
+    for size in range(top, 64, depth):
+        hot = written(now.groupBy(*pair).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select(*pair, F.lit(True).alias("hot")), "hot-nodes")
+        n_hot = hot.count()
+        if not n_hot:
+            break
+        # At most one hot pair for each ``hot_rows`` rows.
+        flagged = now.join(F.broadcast(hot) if n_hot <= HUBS else hot, pair, "left")
+        done.append(flagged.where("hot IS NULL").select(now.columns))
+        step = min(depth, 64 - size)
+        below = F.shiftrightunsigned("bits", 64 - size - step)
+        own = below.bitwiseAND(F.lit((1 << step) - 1).cast("bigint")).cast("int")
+        on_left = F.shiftrightunsigned("bits", 64 - size) == F.col("p")
+        mine = written(flagged.where("hot").select("fp", "t", "bits", "p", "q", below.alias("below"), own.alias("own"), on_left.alias("on_left")), "hot-rows")
+        # The deeper nodes of each hot pair's sides that have rows: 2 to the power of depth at most for a side.
+        there = written(mine.select("t", "p", "q", F.when(F.col("on_left"), F.col("p")).otherwise(F.col("q")).alias("side"), F.col("own").alias("other")).distinct(), "deep-nodes")
+        side = F.when(F.col("on_left"), F.col("q")).otherwise(F.col("p"))
+        out = mine.select("fp", "t", "bits", "p", "q", "below", "own", side.alias("side"))
+        within = lambda other: F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) + F.bit_count(F.col("own").bitwiseXOR(other)) <= budget
+        if there.count() <= HUBS:
+            there = there.toDF("t_", "p_", "q_", "side_", "other")
+            on = (F.col("t") == F.col("t_")) & (F.col("p") == F.col("p_")) & (F.col("q") == F.col("q_")) & (F.col("side") == F.col("side_"))
+            out = out.join(F.broadcast(there), on & within(F.col("other")))
+        else:
+            every = F.sequence(F.lit(0), F.lit((1 << step) - 1))
+            out = out.withColumn("other", F.explode(F.filter(every, within)))
+        theirs = F.shiftleft("side", step).bitwiseOR(F.col("other").cast("bigint"))
+        now = out.select("fp", "t", "bits", F.lit(size + step).alias("size"), F.least("below", theirs).alias("p"), F.greatest("below", theirs).alias("q"))
+        now = written(now, "dealt")
+    for part in done:
+        now = now.unionByName(part)
+    return now
+
+
 def links(nodes: DataFrame, budget: int = 4, hot_rows: int = 20_000, depth: int = 8) -> DataFrame:
     """Forest edges (``a``, ``b``) among the distinct fingerprints ``fp`` of ``nodes``; ``budget`` bits may differ.
 
-    ``hot_rows``: a trie node with more fingerprints is dealt out as pairs of the nodes ``depth`` levels below it.
+    ``hot_rows``, ``depth``: a pair of trie nodes with more fingerprints is dealt out as pairs of the nodes so many levels below.
     """
     blocks, keep = layout(nodes.count(), budget)
     rows, top = keyed(nodes, blocks, keep)
-    node = F.shiftrightunsigned("bits", 64 - top).alias("k")
-    rows = rows.select("fp", "t", "bits", node)
-    hot = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("t", "k", F.lit(True).alias("hot"))
-    dealt = rows.select("fp", "t", "bits", "k", F.lit(-1).alias("p"), F.lit(-1).alias("q"))
-    if not hot.isEmpty():
-        flagged = rows.join(hot, ["t", "k"], "left")
-        low = F.shiftrightunsigned("bits", 64 - top - depth).bitwiseAND(F.lit((1 << depth) - 1).cast("bigint")).cast("int")
-        near = [[q for q in range(1 << depth) if (p ^ q).bit_count() <= budget] for p in range(1 << depth)]
-        partner = F.explode(F.element_at(F.array(*[F.array(*map(F.lit, qs)) for qs in near]), low + 1))
-        deep = flagged.where("hot").select("fp", "t", "bits", "k", low.alias("own"), partner.alias("other"))
-        deep = deep.select("fp", "t", "bits", "k", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-        dealt = flagged.where("hot IS NULL").select(dealt.columns[0], "t", "bits", "k", F.lit(-1).alias("p"), F.lit(-1).alias("q")).unionByName(deep)
-
-    def joined(t: int, p: int, q: int, fp: np.ndarray, bits: np.ndarray) -> pa.RecordBatch | None:
+
+    def joined(size: int, p: int, q: int, fp: np.ndarray, bits: np.ndarray) -> pa.RecordBatch | None:
         order = np.argsort(bits, kind="stable")
         fp, bits = fp[order], bits[order]
         if p != q:
-            side = ((bits >> np.uint64(64 - top - depth)) & np.uint64((1 << depth) - 1)) == q
-            one, two = np.flatnonzero(~side), np.flatnonzero(side)
-            if not len(one) or not len(two):
+            cut = int(np.searchsorted(bits >> np.uint64(64 - size), np.uint64(max(p, q))))
+            if cut in (0, len(bits)):
                 return None
-            found = trie_pairs(bits[one], *(np.array([x]) for x in (0, len(one), 0, len(two))), budget, 63, bits[two])
-            a, b = _forest(bits, fp, ((one[i], two[j]) for i, j in found))
+            found = trie_pairs(bits[:cut], *(np.array([x]) for x in (0, cut, 0, len(bits) - cut)), budget, 63, bits[cut:])
+            a, b = _forest(bits, fp, ((i, j + cut) for i, j in found))
         else:
-            node = bits >> np.uint64(64 - top)
+            node = bits >> np.uint64(64 - size) if size < 64 else bits
             start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
             end = np.r_[start[1:], len(bits)]
             start, end = start[end - start > 1], end[end - start > 1]
-            a, b = _forest(bits, fp, trie_pairs(bits, start, end, start, end, budget, 63 - top))
+            a, b = _forest(bits, fp, trie_pairs(bits, start, end, start, end, budget, 63 - size))
         return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]) if len(a) else None
 
     def run(batches):
-        """Sorted rows of whole nodes; the last node of a batch waits for the next one, which may hold more of it."""
-        kept: list[np.ndarray] | None = None
+        """Sorted rows of whole nodes; the last node of a batch waits for the next ones, which may hold more of it."""
+        kept: list[list[np.ndarray]] = []
         for batch in batches:
-            now = [np.asarray(batch.column(n)) for n in ("t", "p", "q", "k", "fp", "bits")]
-            now = now if kept is None else [np.concatenate(x) for x in zip(kept, now, strict=True)]
-            changes = np.flatnonzero(np.any([x[1:] != x[:-1] for x in now[:4]], axis=0))
-            cut = int(changes[-1]) + 1 if len(changes) else 0
-            kept = [x[cut:] for x in now]
-            yield from whole([x[:cut] for x in now])
-        if kept is not None:
-            yield from whole(kept)
+            now = [np.asarray(batch.column(n)) for n in ("t", "size", "p", "q", "fp", "bits")]
+            changes = np.flatnonzero(np.any([x[1:] != x[:-1] for x in now[:4]], axis=0)) + 1
+            if kept and any(x[0] != y[-1] for x, y in zip(now[:4], kept[-1][:4], strict=True)):
+                yield from whole([np.concatenate(x) for x in zip(*kept, strict=True)])
+                kept = []
+            if len(changes):
+                cut = int(changes[-1])
+                kept.append([x[:cut] for x in now])
+                yield from whole([np.concatenate(x) for x in zip(*kept, strict=True)])
+                kept = [[x[cut:] for x in now]]
+            else:
+                kept.append(now)
+        if kept:
+            yield from whole([np.concatenate(x) for x in zip(*kept, strict=True)])
 
     def whole(cols: list[np.ndarray]):
-        t, p, q, k, fp, bits = cols
+        t, size, p, q, fp, bits = cols
         if not len(t):
             return
-        cold = p == -1
-        change = np.any([x[1:] != x[:-1] for x in (t, p, q)], axis=0) | ((k[1:] != k[:-1]) & ~cold[1:])
+        # Nodes at the top, paired with themselves, are walked together: their keys need not be told apart here.
+        alike = (size == top) & (p == q)
+        change = np.any([x[1:] != x[:-1] for x in (t, size)], axis=0) | ((p[1:] != p[:-1]) | (q[1:] != q[:-1])) & ~(alike[1:] & alike[:-1])
         start = np.flatnonzero(np.r_[True, change])
         for i, j in zip(start, np.r_[start[1:], len(t)], strict=True):
-            out = joined(int(t[i]), int(p[i]), int(q[i]), fp[i:j].view(np.uint64), bits[i:j].view(np.uint64))
+            out = joined(int(size[i]), 0 if alike[i] else int(p[i].view(np.uint64)), 0 if alike[i] else int(q[i].view(np.uint64)), fp[i:j].view(np.uint64), bits[i:j].view(np.uint64))
             if out is not None:
                 yield out
 
-    ready = dealt.repartition("t", "k", "p", "q").sortWithinPartitions("t", "p", "q", "k")
+    dealt = deal(rows, budget, top, hot_rows, depth)
+    ready = dealt.repartition("t", "size", "p", "q").sortWithinPartitions("t", "size", "p", "q")
     return ready.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -232,11 +270,11 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     """One large-star or small-star round: (``a``, ``b``) with a > b point towards smaller fingerprints."""
     if large:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "stars")
+        out = hub_join(both.where("v > u"), least.select("u", "m"), "u", least.select("u", "n")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        out = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
+        least = written(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "stars")
+        out = hub_join(edges, least.select("a", "m"), "a", least.select("a", "n")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
     return out.where("a > b").distinct()
 
 
@@ -252,20 +290,22 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(star(star(now, True), False), "links")
 
 
-def _named(docs: DataFrame, budget: int, id_col: str) -> DataFrame:
-    """(``fp``, ``component_id``) of all fingerprints of ``docs``."""
-    nodes = written(docs.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
+def _named(docs: DataFrame, budget: int, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(``fp``, ``component_id``, ``root``) of all fingerprints of ``docs``, and how many rows each has: (``fp``, ``n``)."""
+    nodes = written(docs.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes.select("fp"), budget))
-    linked = written(roots.union(roots.select("root", "root").distinct()).toDF("fp", "root").join(nodes, "fp"), "linked")
-    whole = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = linked.join(whole, "root").select("fp", "component_id", "root")
-    return nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    linked = written(roots.union(roots.select("root", "root").distinct()).toDF("fp", "root").join(nodes.select("fp", "least"), "fp"), "linked")
+    whole = written(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "roots")
+    moved = hub_join(linked, whole.select("root", "component_id"), "root", whole.select("root", "n")).select("fp", "component_id", "root")
+    named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return written(named, "named"), nodes.select("fp", "n")
 
 
 def near_duplicates(df: DataFrame, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id_col``, ``fp``, ``component_id``: the smallest id that is reachable by links, its own included."""
     docs = written(fingerprints(df, id_col, text_col), "fingerprints")
-    return docs.join(_named(docs, budget, id_col), "fp").select(id_col, "fp", "component_id")
+    named, counts = _named(docs, budget, id_col)
+    return hub_join(docs, named.select("fp", "component_id"), "fp", counts).select(id_col, "fp", "component_id")
 
 
 def keep_one(df: DataFrame, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,19 +313,23 @@ def keep_one(df: DataFrame, budget: int = 4, id_col: str = "doc_id", text_col: s
 
     Rows are told apart by a hash of all their columns; the texts are read twice and shuffled once at most.
     """
-    row = F.xxhash64(*[df[c] for c in df.columns])
-    marked = df.select(df[id_col].alias("id"), df[text_col].alias("text"), row.alias("row")).select(F.struct("id", "row").alias("key"), "text")
-    docs = written(fingerprints(marked, "key", "text").select("key.id", "key.row", "fp"), "fingerprints")
-    named = _named(docs, budget, "id").select("fp", "root")
-    rank = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("row"))).alias("best")
-    winners = docs.groupBy("fp").agg(rank).join(named, "fp").groupBy("root").agg(F.min("best").alias("best"))
-    winners = written(winners.select(F.col("best.id").alias("__id"), F.col("best.row").alias("__row")), "winners")
-    rows = df.withColumn("__r", row)
-    kept = rows.join(winners, rows[id_col].eqNullSafe(winners["__id"]) & (rows["__r"] == winners["__row"]), "left_semi")
-    again = docs.groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1")
+    key = free_name(df, "row_key")
+    rows = df.withColumn(key, F.struct(df[id_col].alias("id"), F.xxhash64(*[df[c] for c in df.columns]).alias("row")))
+    marked = rows.select(F.col(key).alias("key"), df[text_col].alias("text"))
+    docs = written(fingerprints(marked, "key", "text").select("key", "fp"), "fingerprints")
+    named, _ = _named(docs.select("key.id", "fp"), budget, "id")
+    rank = F.min(F.struct(F.col("key.id").isNull().alias("no_id"), "key")).alias("best")
+    # A fingerprint's rows and a component's fingerprints are added up before they are moved.
+    winners = docs.groupBy("fp").agg(rank).join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("best").alias("best"))
+    winners = written(winners.select(F.col("best.key.id").alias("id"), F.col("best.key.row").alias("row"), F.lit(True).alias("won")), "winners")
+    # Rows that are the same in all columns, ids too, share a key: one of each is left. Null ids are found by their hash alone.
+    mine, theirs = free_name(rows, "row_hash"), free_name(rows, "won")
+    rows = rows.withColumn(mine, F.xxhash64(key))
+    right = winners.select(F.xxhash64(F.struct("id", "row")).alias(mine), F.col("won").alias(theirs)).distinct()
+    counts = docs.groupBy(F.xxhash64("key").alias(mine)).agg(F.count("*").alias("n"))
+    kept = hub_join(rows, right, mine, counts).drop(theirs)
+    again = written(counts.where("n > 1").select(mine), "repeated")
     if again.isEmpty():
-        return kept.drop("__r")
-    # Rows that are the same in all columns, ids too: one of each is left.
-    again = written(again.select(F.col("id").alias("__id"), F.col("row").alias("__row")), "repeated")
-    same = kept[id_col].eqNullSafe(again["__id"]) & (kept["__r"] == again["__row"])
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, "__r"])).drop("__r")
+        return kept.drop(key, mine)
+    one = kept.join(again, mine, "left_semi").dropDuplicates([mine])
+    return kept.join(again, mine, "left_anti").unionByName(one).drop(key, mine).select(df.columns)

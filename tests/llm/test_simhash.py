@@ -98,3 +98,48 @@ def test_query_on_the_small_table(spark):
     docs = [(x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     want = sorted((d, f"{f % (1 << 64):016x}", c) for d, f, c in brute(docs))
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_deep_hot_nodes_are_split_until_small(spark):
+    """Fingerprints that differ in their last 14 bits only: whatever blocks are taken as equal, nodes stay hot for many levels."""
+    r = np.random.default_rng(5)
+    base = int(r.integers(0, 2**63, dtype=np.uint64)) >> 14 << 14
+    fp = sorted({base | int(x) for x in r.integers(0, 1 << 14, 400)} | {(base | int(x)) - (1 << 63) for x in r.integers(0, 1 << 14, 60)})
+    nodes = spark.createDataFrame([(x,) for x in fp], "fp long").cache()
+    rows, top = simhash.keyed(nodes, 5, 1)
+    dealt = simhash.deal(rows, 4, top, 60, 8)
+    assert dealt.groupBy("t", "size", "p", "q").count().agg({"count": "max"}).first()[0] <= 60
+    pairs = {(x.t, x.size, x.p, x.q): set() for x in dealt.select("t", "size", "p", "q").distinct().collect()}
+    for x in dealt.collect():
+        pairs[x.t, x.size, x.p, x.q].add(x.fp)
+    met = {frozenset((a, b)) for s in pairs.values() for a in s for b in s if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
+    assert met == {frozenset((a, b)) for i, a in enumerate(fp) for b in fp[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
+
+
+def test_one_node_for_each_pair_at_full_depth(spark):
+    fp = [-5, 4, 5, -1, 1 << 62, -(1 << 63), 0]
+    rows = spark.createDataFrame([(x, 0, x) for x in fp], "fp long, t int, bits long")
+    dealt = simhash.deal(rows, 4, 8, 1, 8)
+    assert dealt.groupBy("t", "size", "p", "q").count().agg({"count": "max"}).first()[0] <= 2
+
+
+def test_hubs_are_joined_by_broadcast(spark):
+    from sluice.llm._common import hub_join
+
+    left = spark.createDataFrame([(i % 5 if i % 3 else 7, i) for i in range(300)] + [(None, -1)], "k long, v long")
+    right = spark.createDataFrame([(k, f"x{k}") for k in (0, 1, 2, 3, 4, 7, 9)], "k long, name string")
+    got = hub_join(left, right, "k", hub_rows=50)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["doc_id", "text", "__r", "__id", "row_key", "row_hash", "won", "fp", "key", "n", "id"]
+    rows = [(i, t, *[f"{n}{i}" for n in names[2:]]) for i, t in [(2, "one two three four five"), (1, "one two three four five"), (3, "quite another text here today"), (None, "and one more text of words"), (None, "and one more text of words")]]
+    rows.append(rows[2])
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    kept = simhash.keep_one(df)
+    assert kept.columns == names
+    got = kept.collect()
+    assert sorted(str(x.doc_id) for x in got) == ["1", "3", "None"] and tuple(next(x for x in got if x.doc_id == 1)) == rows[1]
+    assert simhash.keep_one(df.limit(0)).collect() == []
