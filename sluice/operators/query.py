@@ -14,6 +14,29 @@ def _column(c: Column | str) -> Column:
     return F.expr(c) if isinstance(c, str) else c
 
 
+def not_in(df: DataFrame, column: Column, keys: DataFrame) -> DataFrame:
+    """Rows whose ``column`` is NOT IN the first column of ``keys``, with nulls as SQL has them.
+
+    Spark plans NOT IN by sending all keys to every task. Here two numbers about the keys come first, then a plain anti join, which can be
+    a sort-merge join: no keys keep every row; a null among them keeps none; else a null in ``column`` drops its row.
+    """
+    named = keys.toDF(*(f"key_{k}" for k in range(len(keys.columns)))).select("key_0")
+    size = named.agg(F.count("*").alias("n"), F.count("key_0").alias("known"))
+    n, known = size.select("n").scalar(), size.select("known").scalar()
+    return df.where((n == 0) | ((n == known) & column.isNotNull())).join(named, column == named["key_0"], "left_anti")
+
+
+def join_any(left: DataFrame, right: DataFrame, conditions: list[Column]) -> DataFrame:
+    """Inner join on any of some equalities: an equi-join for each, without the pairs that an earlier one has found."""
+    out, earlier = None, None
+    for c in conditions:
+        part = left.join(right, c)
+        part = part if earlier is None else part.where(~F.coalesce(earlier, F.lit(False)))
+        out = part if out is None else out.union(part)
+        earlier = c if earlier is None else F.coalesce(earlier, F.lit(False)) | F.coalesce(c, F.lit(False))
+    return out
+
+
 @dataclass(frozen=True)
 class Select:
     """FROM, JOIN, WHERE, GROUP BY, HAVING, ORDER BY, LIMIT and OFFSET; nothing runs before ``df`` is used."""

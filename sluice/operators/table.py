@@ -13,15 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.types import coerce, spark_type, valid
+from sluice.operators.errors import ColumnNotFoundError, ConstraintError
 from sluice.sources.scratch import written
 
 CUT = 12
 
 
-class ConstraintError(ValueError):
-    """A change that a constraint forbids; the table is as before."""
-
-
 @dataclass(frozen=True)
 class Sequence:
     """A sequence of a key column; ``next`` is the number it gives out next."""
@@ -64,7 +61,7 @@ class Table:
         for c in self.df.columns:
             if c.lower() == name.lower().strip('"`'):
                 return c
-        raise ValueError(f"table {self.name} has no column {name}")
+        raise ColumnNotFoundError(f"table {self.name} has no column {name}")
 
     def insert(self, columns: list[str], values: list[object]) -> Table:
         """One row. All columns but those of sequences must be given, and those must not."""

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions import semantics
-from sluice.operators.database import Database, MaxRowsError, Session, analyze
-from sluice.operators.query import Select
+from sluice.operators.database import Database, Session, analyze, column_statistics
+from sluice.operators.errors import EngineError, MaxRowsError
+from sluice.operators.query import Select, join_any, not_in
 from sluice.operators.table import Table, number_rows
 from sluice.plans.registry import query
 from sluice.session import RELATIONAL, load, register
@@ -48,6 +48,7 @@ _sql("scan_star", "SELECT * FROM region")
 _sql("scan_point", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 7")
 _sql("scan_in_keys", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (1, 5, 9, 1000000000)")
 _sql("scan_range", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 10 AND l_quantity < 12")
+_sql("constant_item", "SELECT n_name, 1 AS one, 'x' AS word, NULL AS nothing FROM nation", "SELECT n_name, 1 AS one, 'x' AS word, NULL AS nothing FROM nation")
 _sql("quoted_ident", "SELECT n_name AS `Nation Name`, n_nationkey AS `key` FROM nation", 'SELECT n_name AS "Nation Name", n_nationkey AS "key" FROM nation')
 _sql("column_alias_in_where", "SELECT k, total FROM (SELECT o_orderkey AS k, o_totalprice AS total FROM orders) a WHERE total > 400000")
 _sql("table_alias", "SELECT o.o_orderkey, c.c_name FROM orders AS o JOIN customer c ON o.o_custkey = c.c_custkey")
@@ -72,6 +73,8 @@ _sql("bool_3vl", f"SELECT id, flag AND age > 26 AS a, flag OR age > 26 AS o, NOT
 _sql("not_cond", f"SELECT id FROM {_NULLS} t WHERE NOT age = 25")
 _sql("not_group", f"SELECT id FROM {_NULLS} t WHERE NOT (age = 25 OR col = 'C')")
 _sql("not_group_or_null", f"SELECT id FROM {_NULLS} t WHERE NOT (flag AND age > 26) OR age IS NULL")
+_sql("decimal_eq", "SELECT id FROM (VALUES (1, CAST(1.5 AS DECIMAL(10,1))), (2, CAST(1.4 AS DECIMAL(10,1)))) AS v(id, d) WHERE d = CAST(1.50 AS DECIMAL(12,3))")
+_sql("text_eq_number", "SELECT p_partkey FROM part WHERE CAST(p_size AS STRING) = 7", "SELECT p_partkey FROM part WHERE CAST(CAST(p_size AS VARCHAR) AS INTEGER) = 7")
 _sql("in_list", "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 7, 13)")
 _sql("in_strings", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P')")
 _sql("in_null", "SELECT p_partkey FROM part WHERE p_size IN (1, NULL, 3)")
@@ -93,7 +96,6 @@ _sql("join_full", "SELECT c_custkey, s_suppkey FROM customer FULL OUTER JOIN sup
 _sql("join_cross", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n")
 _sql("join_theta", "SELECT a.n_nationkey AS k1, b.n_nationkey AS k2 FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey >= b.n_regionkey")
 _sql("join_ne", "SELECT a.r_name AS r1, b.r_name AS r2 FROM region a JOIN region b ON a.r_regionkey <> b.r_regionkey")
-_sql("join_or_on", "SELECT n_nationkey, r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey OR n_nationkey = r_regionkey")
 _sql("join_or_on_and", "SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey AND (s_acctbal > 5000 OR n_regionkey = 1)")
 _sql("join_like_on", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey AND n_name LIKE '%A%'")
 _sql("join_in_on", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey AND r_name IN ('ASIA', 'EUROPE')")
@@ -109,6 +111,12 @@ _sql("join_subquery_on", "SELECT c_custkey, o_orderkey FROM customer JOIN orders
 _sql("join_derived", "SELECT a.k, c_name FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) a JOIN customer ON a.k = c_custkey WHERE a.n > 15")
 _sql("join_big", "SELECT p_brand, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
 
+_sql("join_using", "SELECT k, a.name, b.word FROM (SELECT r_regionkey AS k, r_name AS name FROM region) a JOIN (SELECT n_regionkey AS k, n_name AS word FROM nation) b USING (k)")
+_sql("join_star", "SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey")
+_sql("join_semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_totalprice > 400000)")
+_sql("join_anti", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_totalprice > 400000)")
+_sql("join_text_number", "SELECT n_nationkey, w FROM nation JOIN (SELECT CAST(r_regionkey AS STRING) AS w FROM region) r ON n_nationkey = w", "SELECT n_nationkey, w FROM nation JOIN (SELECT CAST(r_regionkey AS VARCHAR) AS w FROM region) r ON n_nationkey = CAST(w AS BIGINT)")
+
 # Aggregation.
 _sql("agg_count", "SELECT count(*) AS n FROM lineitem")
 _sql("agg_count_col", f"SELECT count(age) AS n, count(*) AS every FROM {_NULLS} t")
@@ -133,6 +141,9 @@ _sql("having_and_or", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice),
 _sql("having_not", "SELECT p_size, count(*) AS n FROM part GROUP BY p_size HAVING NOT (count(*) > 40 OR min(p_retailprice) > 905)")
 _sql("having_hidden_agg", "SELECT p_size FROM part GROUP BY p_size HAVING max(p_retailprice) - min(p_retailprice) > 10 AND avg(p_retailprice) > 905")
 _sql("having_subquery", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING sum(o_totalprice) > (SELECT avg(o_totalprice) * 15 FROM orders)")
+_sql("agg_distinct", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS n, sum(DISTINCT l_linenumber) AS s FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS n, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS s FROM lineitem GROUP BY l_returnflag")
+_sql("having_without_group", "SELECT count(*) AS n, max(n_name) AS last FROM nation HAVING count(*) > 3")
+_sql("having_without_group_none", "SELECT count(*) AS n FROM nation HAVING count(*) > 300")
 _sql("agg_of_subquery", "SELECT (SELECT count(*) FROM nation) AS nations, max(r_regionkey) AS most FROM region")
 
 # Sort, limit, offset.
@@ -145,6 +156,7 @@ _sql("order_agg", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custke
 _sql("order_subquery", "SELECT n_nationkey, n_name FROM nation ORDER BY abs(n_nationkey - (SELECT max(r_regionkey) * 3 FROM region)), n_name LIMIT 5")
 _sql("limit", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 10")
 _sql("offset", "SELECT n_nationkey FROM nation ORDER BY n_nationkey OFFSET 20")
+_sql("limit_without_order", "SELECT count(*) AS n FROM (SELECT c_custkey FROM customer LIMIT 10) t")
 _sql("limit_offset", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 10 OFFSET 25")
 _sql("limit_offset_subquery", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) ORDER BY c_custkey LIMIT 7 OFFSET 3")
 _sql("limit_zero", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 0")
@@ -152,8 +164,9 @@ _sql("topk", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORD
 
 # Subqueries.
 _sql("sub_in", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)")
-_sql("sub_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 _sql("sub_not_in_null", f"SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT age FROM {_NULLS} t)")
+_sql("sub_exists", "SELECT n_name FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000)")
+_sql("sub_not_exists", "SELECT n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000)")
 _sql("sub_scalar", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders) * 1.5")
 _sql("sub_scalar_empty", "SELECT n_nationkey FROM nation WHERE n_nationkey = (SELECT r_regionkey FROM region WHERE r_name = 'NONE')")
 _sql("sub_scalar_first", "SELECT n_nationkey FROM nation WHERE n_regionkey = (SELECT min_by(r_regionkey, r_name) FROM region)")
@@ -166,6 +179,21 @@ _sql("sub_like", "SELECT n_name FROM nation WHERE n_name LIKE (SELECT concat(sub
 _sql("sub_nested", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%'))")
 
 
+@query("join_or_on", "SELECT n_nationkey, r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey OR n_nationkey = r_regionkey")
+def join_or_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join on either of two equalities, as two equi-joins."""
+    nation, region = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
+    either = [F.col("n_regionkey") == F.col("r_regionkey"), F.col("n_nationkey") == F.col("r_regionkey")]
+    return join_any(nation, region, either).select("n_nationkey", "r_regionkey")
+
+
+@query("sub_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
+def sub_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NOT IN over a large subquery, which is not sent to every task."""
+    keys = load(spark, sf_dir, "orders").where("o_totalprice > 450000").select("o_custkey")
+    return not_in(load(spark, sf_dir, "customer").select("c_custkey"), F.col("c_custkey"), keys)
+
+
 # Departures from standard results, by choice.
 @query("agg_int_avg_trunc", "SELECT n_regionkey, CAST(trunc(avg(n_nationkey)) AS INTEGER) AS mean FROM nation GROUP BY n_regionkey")
 def agg_int_avg_trunc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +315,7 @@ def txn_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("persist_roundtrip", "SELECT * FROM nation")
 def persist_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table after saving and loading."""
-    path = f"{scratch.root(spark).rstrip('/')}/sluice/saved-{uuid.uuid4().hex}"
+    path = scratch.new_path(spark, "saved")
     db = Database(spark)
     db.register("nation", load(spark, sf_dir, "nation"), primary_key="n_nationkey")
     db.save_all(path)
@@ -299,7 +327,7 @@ def persist_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("csv_roundtrip", "SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN 'say \"hi\", ' || c_mktsegment ELSE '' END AS note FROM customer")
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows after being written as CSV and read back: null, empty text and quotes stay apart."""
-    path = f"{scratch.root(spark).rstrip('/')}/sluice/csv-{uuid.uuid4().hex}"
+    path = scratch.new_path(spark, "csv")
     note = F.when(F.col("c_custkey") % 3 == 1, F.concat(F.lit('say "hi", '), "c_mktsegment")).when(F.col("c_custkey") % 3 == 2, F.lit(""))
     df = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", note.alias("note"))
     files.write_csv(df, path)
@@ -333,3 +361,82 @@ def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
         db.register(name, load(spark, sf_dir, name))
     plan = db.execute("EXPLAIN SELECT n_name, r_name FROM nation LEFT INNER JOIN region ON n_regionkey = r_regionkey")
     return plan.agg(F.bool_or(F.col("plan").contains("Scan parquet")).alias("has_scan"), F.bool_or(F.col("plan").contains("Join")).alias("has_join"))
+
+
+def _registered(spark: SparkSession, sf_dir: str, *names: str) -> Database:
+    db = Database(spark)
+    for name in names:
+        db.register(name, load(spark, sf_dir, name))
+    return db
+
+
+@query("default_agg_names", 'SELECT count(*) AS "COUNT(*)", CAST(sum(r_regionkey) AS BIGINT) AS "SUM(r_regionkey)", max(r_name) AS last FROM region')
+def default_agg_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates without an alias are named as they are written."""
+    return _registered(spark, sf_dir, "region").execute("SELECT count(*), SUM( r_regionkey ), MAX(r_name) AS last FROM region")
+
+
+@query("dml_delete_statement", "SELECT * FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')")
+def dml_delete_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DELETE with a subquery, as a statement."""
+    db = _registered(spark, sf_dir, "nation", "region")
+    db.execute("DELETE FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')")
+    return db.execute("SELECT * FROM nation")
+
+
+@query("dml_update_statement", "SELECT n_nationkey, CASE WHEN n_regionkey = (SELECT max(r_regionkey) FROM region) THEN 'LAST' ELSE n_name END AS n_name, n_regionkey FROM nation")
+def dml_update_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UPDATE with a subquery, as a statement."""
+    db = _registered(spark, sf_dir, "nation", "region")
+    db.execute("UPDATE nation SET n_name = 'LAST' WHERE n_regionkey = (SELECT max(r_regionkey) FROM region)")
+    return db.execute("SELECT * FROM nation")
+
+
+def _outcome(db: Database | Session, sql: str) -> str:
+    """What a statement comes to: "done", or the name of its error."""
+    try:
+        db.execute(sql)
+    except EngineError as e:
+        return type(e).__name__
+    return "done"
+
+
+def _outcomes(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame(rows, "step string, outcome string")
+
+
+@query("unique_index", "SELECT * FROM (VALUES ('index on names', 'done'), ('index on regions', 'ConstraintError'), ('same name again', 'ConstraintError'), ('new name', 'done')) AS v(step, outcome)")
+def unique_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CREATE UNIQUE INDEX holds for the rows there are and for later ones."""
+    db = _registered(spark, sf_dir, "nation")
+    insert = "INSERT INTO nation (n_nationkey, n_name, n_regionkey) VALUES (100, '{}', 1)"
+    steps = [("index on names", "CREATE UNIQUE INDEX ON nation (n_name)"), ("index on regions", "CREATE UNIQUE INDEX ON nation (n_regionkey)"), ("same name again", insert.format(load(spark, sf_dir, "nation").agg(F.min("n_name")).first()[0])), ("new name", insert.format("ATLANTIS"))]
+    return _outcomes(spark, [(name, _outcome(db, sql)) for name, sql in steps])
+
+
+@query("error_classes", "SELECT * FROM (VALUES ('no table', 'TableNotFoundError'), ('dropped table', 'TableNotFoundError'), ('no column', 'ColumnNotFoundError'), ('no column to set', 'ColumnNotFoundError'), ('no statement', 'StatementError'), ('no transaction', 'TransactionError')) AS v(step, outcome)")
+def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors by kind; DROP TABLE takes a table away."""
+    db = _registered(spark, sf_dir, "region", "nation")
+    db.execute("DROP TABLE nation")
+    steps = [("no table", "SELECT * FROM nowhere"), ("dropped table", "DELETE FROM nation"), ("no column", "SELECT nothing FROM region"), ("no column to set", "UPDATE region SET nothing = 1"), ("no statement", "SELEKT 1"), ("no transaction", "COMMIT")]
+    return _outcomes(spark, [(name, _outcome(db, sql)) for name, sql in steps])
+
+
+@query("isolation_levels", "SELECT 'READ_COMMITTED' AS level, 5 AS n UNION ALL SELECT 'READ_UNCOMMITTED', 2 UNION ALL SELECT 'SERIALIZABLE', 5")
+def isolation_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a session of each level sees while another has deleted some and not committed."""
+    db = _registered(spark, sf_dir, "region")
+    one, two = Session(db), Session(db)
+    one.execute("SET AUTOCOMMIT = OFF")
+    one.execute("DELETE FROM region WHERE r_regionkey > 1")
+    rows = []
+    for level in ("READ COMMITTED", "READ UNCOMMITTED", "SERIALIZABLE"):
+        two.execute(f"SET TRANSACTION ISOLATION LEVEL {level}")
+        rows.append((two.isolation, two.execute("SELECT r_regionkey FROM region").count()))
+    return spark.createDataFrame(rows, "level string, n int")
+
+
+@query("column_statistics", "SELECT 'r_regionkey' AS column_name, count(*) - count(r_regionkey) AS nulls, CAST(min(r_regionkey) AS VARCHAR) AS least, CAST(max(r_regionkey) AS VARCHAR) AS greatest FROM region UNION ALL SELECT 'r_name', count(*) - count(r_name), min(r_name), max(r_name) FROM region")
+def column_statistics_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_statistics(load(spark, sf_dir, "region")).select("column_name", "nulls", "least", "greatest")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,23 +21,21 @@ def write_csv(df: DataFrame, path: str) -> None:
         c = F.col(f"`{f.name}`")
         text = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) if isinstance(f.dataType, T.StringType) else c.cast("string")
         fields.append(F.coalesce(text, F.lit("")))
-    header = ",".join(df.columns)
+    header, line = F.lit(",".join(df.columns)), F.concat_ws(",", *fields)
+    # The header stands before the first row of each partition, which is a file.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    lines = df.select(line.alias("line"), first.alias("first")).select(F.explode(F.when(F.col("first"), F.array(header, "line")).otherwise(F.array("line"))).alias("value"))
+    if df.isEmpty():
+        lines = df.sparkSession.range(1).select(header.alias("value"))
+    lines.write.mode("overwrite").text(path)
 
-    def headed(batches):
-        """The header is each file's first line."""
-        yield pa.record_batch([pa.array([header])], names=["value"])
-        for b in batches:
-            yield pa.record_batch([b.column(0)], names=["value"])
 
-    df.select(F.concat_ws(",", *fields).alias("value")).mapInArrow(headed, "value string").write.mode("overwrite").text(path)
-
-
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = True) -> DataFrame:
     """Rows of :func:`write_csv`, with a declared schema; an empty field is null, two quotes are empty text.
 
-    The parser gives an empty field the null mark, which no text holds, so the two stay apart.
+    ``line_breaks``: whether texts may hold line breaks; where none does, large files are read in parts. The parser gives an empty field the null mark, which no text holds, so the two stay apart.
     """
-    return spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("nullValue", "\x01").option("emptyValue", "").option("multiLine", True).csv(path)
+    return spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("nullValue", "\x01").option("emptyValue", "").option("multiLine", line_breaks).csv(path)
 
 
 def write_table(df: DataFrame, path: str, meta: dict) -> None:

@@ -45,6 +45,18 @@ def test_result(spark, duck, name):
     assert got == rows([c[0] for c in found.description], found.fetchall())
 
 
+#: Queries whose point is that no row comes back.
+EMPTY = {"null_eq", "null_ne", "not_in_null", "agg_limit_zero", "limit_zero", "sub_not_in_null", "sub_scalar_empty", "dml_delete_all", "having_without_group_none"}
+
+
+def test_other_queries_return_rows():
+    duck = duckdb.connect()
+    for t in TABLES:
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    for name, sql in ORACLE.items():
+        assert (duck.execute(f"SELECT count(*) FROM ({sql}) t").fetchone()[0] == 0) == (name in EMPTY), name
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 3
     assert set(QUERIES) <= set(__spark_entry__.queries())

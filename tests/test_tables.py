@@ -2,7 +2,9 @@
 
 import datetime as dt
 import decimal
+import os
 import random
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import given, settings
@@ -10,11 +12,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sluice.functions.types import coerce, spark_type
+from sluice import __main__ as prompt
 from sluice.operators.database import Database, MaxRowsError, Session, TransactionError
-from sluice.operators.query import Select
+from sluice.operators.errors import ColumnNotFoundError, EngineError, StatementError
+from sluice.operators.query import Select, join_any, not_in
 from sluice.operators.table import ConstraintError, Sequence, Table, number_rows
 from sluice.plans import dialect
-from sluice.sources import files
+from sluice.sources import files, scratch
 
 
 @pytest.fixture(scope="module")
@@ -260,3 +264,110 @@ def test_joins_against_loops(spark):
     full = outer + [(None, y) for y, v in right if not any(p[1] == y for p in pairs)]
     for kind, want in (("INNER", pairs), ("LEFT", outer), ("FULL", full)):
         assert sorted(map(tuple, Select(a).join(b, kind, "k = l").df("i", "j").collect()), key=str) == sorted(want, key=str)
+
+
+def test_not_in_against_loops(spark):
+    r = random.Random(9)
+    for keys in ([], [None], [1, 2], [1, None], [5, 5, 1]):
+        rows = [(r.choice([None, 1, 2, 3, 5]),) for _ in range(20)]
+        df, other = spark.createDataFrame(rows, "a int"), spark.createDataFrame([(k, "x") for k in keys], "a int, b string")
+        want = [x for (x,) in rows if not keys or (x is not None and None not in keys and x not in keys)]
+        got = not_in(df, F.col("a") if "a" not in other.columns else df["a"], other)
+        assert sorted((x.a for x in got.collect()), key=str) == sorted(want, key=str), keys
+
+
+def test_not_in_is_no_broadcast_of_all_keys(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = not_in(spark.range(100).toDF("a"), F.col("a"), spark.range(50).select(F.when(F.col("id") > 3, F.col("id")).otherwise(0).alias("k")))
+        assert sorted(x.a for x in got.collect()) == [1, 2, 3, *range(50, 100)]
+        plan = got._jdf.queryExecution().toString()
+        assert "SortMergeJoin" in plan and "BroadcastNestedLoopJoin" not in plan and "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_join_on_any_of_some_equalities(spark):
+    r = random.Random(5)
+    left = [(i, r.choice([None, 1, 2, 3]), r.choice([None, 1, 2])) for i in range(20)]
+    right = [(j, r.choice([None, 1, 2, 5]), r.choice([None, 2, 3])) for j in range(15)]
+    a, b = spark.createDataFrame(left + left[:3], "i int, k int, m int"), spark.createDataFrame(right, "j int, l int, o int")
+    got = join_any(a, b, [F.col("k") == F.col("l"), F.col("m") == F.col("o"), F.col("k") == F.col("o")])
+    same = lambda x, y: x is not None and x == y
+    want = [(i, j) for i, k, m in left + left[:3] for j, v, o in right if same(k, v) or same(m, o) or same(k, o)]
+    assert sorted((x.i, x.j) for x in got.collect()) == sorted(want)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_default_names_of_aggregates():
+    named = dialect.named_aggregates
+    assert named("SELECT COUNT(*), sum( A ) FROM T") == "SELECT COUNT(*) AS `COUNT(*)`, sum( A ) AS `SUM(A)` FROM T"
+    for same in ("SELECT A FROM T", "SELECT COUNT(*) AS N FROM T", "SELECT COUNT(A) + COUNT(B) FROM T", "SELECT DISTINCT A FROM T", "WITH X AS (SELECT COUNT(*) FROM T) SELECT * FROM X"):
+        assert " ".join(named(same).split()) == same
+    assert named("SELECT 'FROM', MAX((SELECT 1 FROM U)) FROM T").endswith("AS `MAX((SELECT 1 FROM U))` FROM T")
+
+
+def test_results_are_run_once_in_order_and_keep_equal_names(spark):
+    db = Database(spark, max_rows=100)
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    db.register("T", spark.range(30).mapInArrow(seen, "id long"))
+    got = db.execute("SELECT * FROM T ORDER BY id DESC")
+    assert [x.id for x in got.collect()] == list(range(29, -1, -1)) and got.count() == 30
+    assert runs.value == 30
+    db.register("U", spark.range(3).toDF("id"))
+    both = db.execute("SELECT * FROM U A JOIN U B ON A.id = B.id")
+    assert both.columns == ["id", "id"] and both.count() == 3
+    with pytest.warns(UserWarning, match="near the limit"):
+        db.execute("SELECT id FROM T /* MAX_ROWS=31 */")
+    assert not [t for t in spark.catalog.listTables() if t.name in ("t", "u", "T", "U")]
+
+
+def test_errors_slow_log_and_prompt(spark):
+    db = Database(spark, slow_seconds=0.0)
+    shown = []
+    lines = ["CREATE TABLE P (ID INTEGER PRIMARY KEY,\n", " NAME STRING);\n", "INSERT INTO P (ID, NAME) VALUES (1, 'a;b');\n", "INSERT INTO P (ID, NAME) VALUES (1, 'c');\n", "SELECT * FROM P;\n", "SELECT * FROM Q;\n", "quit\n", "DROP TABLE P;\n"]
+    prompt.run(db, lines, show=shown.append)
+    assert shown[:2] == ["create_table P", "insert P"] and shown[2].startswith("ConstraintError") and shown[3:5] == ["ID | NAME", "1 | a;b"] and shown[5].startswith("TableNotFoundError")
+    assert len(db.slow) == 5 and all(s >= 0 for _, s in db.slow)
+    for sql, kind in (("SELECT X FROM P", ColumnNotFoundError), ("SELECT FROM WHERE", EngineError), ("CREATE TABLE R (A JSON)", StatementError), ("INSERT INTO P (ID, NAME) VALUES (1, ((2)", StatementError)):
+        with pytest.raises(kind):
+            db.execute(sql)
+    db.execute("ANALYZE TABLE P")
+    assert db.statistics["P"]["row_count"] == 1 and db.statistics["P"]["analyzed_at"].tzinfo
+
+
+def test_csv_header_of_each_file_and_of_an_empty_table(spark, tmp_path):
+    df = spark.range(6).repartition(3).toDF("n")
+    files.write_csv(df, str(tmp_path / "a"))
+    assert all(p.read_text().startswith("n\n") for p in (tmp_path / "a").glob("part-*") if p.stat().st_size)
+    assert sorted(x.n for x in files.read_csv(spark, str(tmp_path / "a"), df.schema, line_breaks=False).collect()) == list(range(6))
+    files.write_csv(df.limit(0), str(tmp_path / "b"))
+    assert "".join(p.read_text() for p in (tmp_path / "b").glob("part-*")) == "n\n"
+    assert files.read_csv(spark, str(tmp_path / "b"), df.schema).collect() == []
+
+
+def test_scratch_folder_must_be_shared():
+    def session(master, **conf):
+        context = SimpleNamespace(master=master, getConf=lambda: conf)
+        return SimpleNamespace(conf=conf, sparkContext=context)
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        scratch.root(session("spark://host:7077"))
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        scratch.root(session("local-cluster[2,1,1024]"))
+    assert scratch.root(session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs://shared"})) == "hdfs://shared"
+    assert scratch.root(session("local[4]")).startswith("file://")
+
+
+def test_scratch_tables_are_forgotten(spark):
+    t = scratch.written(spark.range(3))
+    path = t._scratch.removeprefix("file://")
+    assert t.count() == 3 and os.path.isdir(path)
+    scratch.forget(t)
+    assert not os.path.isdir(path)
