@@ -6,12 +6,9 @@ intermediate tables go to the shared folder that the session names in ``spark.ch
 
 from __future__ import annotations
 
-import atexit
 import os
 import re
-import tempfile
 import unicodedata
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -19,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.sources.scratch import forget, new_path as scratch_path, written  # noqa: F401  the shared folder's tables
+
 # A task has one core: the tokenizers library's threads would only wait for one another there.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -31,48 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return root or _own_root()
-
-
-@lru_cache(maxsize=1)
-def _own_root() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="sluice-")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; it is removed when the driver ends."""
-    path = f"{scratch_root(spark).rstrip('/')}/sluice/{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may have ended already; the folder is the cluster's to clean
-        pass
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    _remove(spark, path)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: it cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc32_text(col: Column) -> Column:
     """crc32 of an id written as decimal text."""
     return F.crc32(col.cast("string").cast("binary"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sluice.llm._common import crc32_text, letter_runs, map_arrow, texts, written
+from sluice.llm._common import crc32_text, forget, letter_runs, map_arrow, texts, written
 
 #: Orders of character n-grams, tried in this order.
 ORDERS = (5, 4, 3, 2, 1)
@@ -161,6 +161,8 @@ def train(df: DataFrame, usable: Column, sample_docs: int = 10_000, max_words: i
         row = np.zeros(len(languages))
         row[[number[g] for g in x.by]] = [*x.by.values()]
         by_order[x.n][x.gram] = row
+    forget(counts)
+    forget(whole)
     return Model(languages, np.array([share[g] for g in languages], np.float64), by_order.pop(0, {}), dict(by_order))
 
 

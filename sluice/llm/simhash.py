@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._common import HUBS, free_name, hub_join, map_arrow, texts, written
+from sluice.llm._common import HUBS, forget, free_name, hub_join, map_arrow, texts, written
 
 SEED = 42
 SHINGLE = 4
@@ -286,8 +286,9 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if seen == mark or not seen.n:
             return now.select(F.col("a").alias("fp"), F.col("b").alias("root"))
-        mark = seen
+        mark, before = seen, now
         now = written(star(star(now, True), False), "links")
+        forget(before)
 
 
 def _named(docs: DataFrame, budget: int, id_col: str) -> tuple[DataFrame, DataFrame]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._common import crc32_text, letter_runs, map_arrow, texts, written
+from sluice.llm._common import crc32_text, forget, letter_runs, map_arrow, texts, written
 
 #: Lengths of word beginnings that may be features.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -269,7 +269,7 @@ def train(df: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sampl
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     # The chosen labels are about sample_docs rows of two numbers: small enough to send to every task.
     sample = docs.join(F.broadcast(chosen), "id").groupBy("text").agg(F.max("toxic").alias("toxic"))
-    sample = written(sample.select("toxic", "text"), "toxic-sample")
+    sample = kept = written(sample.select("toxic", "text"), "toxic-sample")
     rows = sample.count()
     if rows > 2 * sample_docs:  # ids that many rows share
         sample = sample.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < round(sample_docs / rows * 1_000_000))
@@ -300,6 +300,7 @@ def train(df: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sampl
     # As many rows as the sample has; they are sorted here, as most are alike and would meet in one task.
     got = sorted(map(tuple, map_arrow(sample, [F.col("toxic"), F.col("text")], aggregates, "toxic int, a double, b double, c double, d double").collect()))
     tagger.doc = _logistic(np.array([x[1:] for x in got]), np.array([x[0] for x in got], float))
+    forget(kept)
     return tagger
 
 
