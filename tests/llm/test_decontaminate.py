@@ -70,3 +70,40 @@ def test_sql_states_the_same_result():
     docs, items = (con.execute(f"SELECT * FROM {n}").fetchall() for n in ("documents", "benchmark"))
     want = brute([x[:2] for x in docs], items)
     assert sorted(con.execute(ORACLE["op4_decontaminate"]).fetchall(), key=str) == want
+
+
+def test_groups_of_items_give_the_same_rows(spark):
+    r = random.Random(6)
+    vocab = [f"w{i}" for i in range(9)]
+    items = [(i % 35, " ".join(r.choices(vocab, k=r.choice([2, 13, 20, 40])))) for i in range(40)]
+    docs = [(i, " ".join([*r.choices([*vocab, "out"], k=50), r.choice(items)[1], *r.choices(vocab, k=30), r.choice(items)[1]])) for i in range(40)] + [(99, None)]
+    a = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, found string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert len([*decontaminate.automata(b, group_words=100)]) > 4
+    got = sorted(map(tuple, decontaminate.contamination(a, b, group_words=100).collect()), key=str)
+    assert got == brute(docs, items) == sorted(map(tuple, decontaminate.contamination(a, b).collect()), key=str)
+    kept = decontaminate.remove_contaminated(a, b, group_words=100)
+    assert kept.columns == a.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, decontaminate.remove_contaminated(a, b).collect()))
+
+
+def test_arrays_are_small():
+    import pickle
+
+    r = random.Random(3)
+    own = decontaminate.Automaton(13)
+    items = [(i, own.add([b"%d" % r.randrange(20_000) for _ in range(300)])) for i in range(200)]
+    own.finish(items)
+    flat = sum(len(x) * x.itemsize for x in (own.word, own.to, own.link, own.length, own.ends, own.next_end, own.keys, own.targets, own.start))
+    assert not own.more and (flat + len(own.branches)) / own.size < 100
+    assert len(pickle.dumps(own)) / own.size < 100
+
+
+def test_spans_are_removed_by_length_and_coverage(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    part = " ".join(f"q{i}" for i in range(13))
+    fill = " ".join(f"f{i}" for i in range(900))
+    docs = [(1, f"{fill}, {item.upper()}! {fill}"), (2, f"{fill}, {part}! {fill}"), (3, f"One {part.replace(' ', ' - ')}, two."), (4, None), (5, "clean")]
+    a = spark.createDataFrame([(d, t, 7) for d, t in docs], "doc_id long, text string, n int")
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {x.doc_id: x.text for x in decontaminate.remove_spans(a, b).collect()}
+    assert got == {1: f"{fill}, ! {fill}", 2: docs[1][1], 3: "One , two.", 4: None, 5: "clean"}
