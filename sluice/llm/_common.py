@@ -6,12 +6,15 @@ intermediate tables go to the shared folder that the session names in ``spark.ch
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import unicodedata
+from pathlib import Path
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +64,16 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+@lru_cache(maxsize=1)
+def one_thread() -> None:
+    """Numpy's products use one thread in this process: a task has one core, and threads that wait for another would only take time."""
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def narrow(text: str) -> bool:
     """Whether all characters are below U+0100."""
     if text.isascii():
