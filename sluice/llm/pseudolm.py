@@ -8,9 +8,10 @@ the probabilities are summed. Classes are tokens of like frequency, about as man
 vocabulary, not all of it.
 
 The network is trained in numpy. All words of all documents are counted, which gives the vocabulary, the classes and the output's first biases: training
-begins at the unigram model. One masked token in ``stride`` of every document, by a hash of its text, is learned from, each in one of ``rounds``
-rounds, so the steps grow with the corpus. In a round each task starts from the same network and goes on over its own documents; the networks are
-averaged on executors and then on the driver, embeddings and outputs by how often each task has seen them. The driver gets
+begins at the unigram model. Every document is learned from in one of ``rounds`` rounds, by a hash of its text: one masked token in ``stride``, with
+``stride`` 1, as the query has it, every token of the corpus once. So the steps grow with the corpus. In a round each task starts from the same network and goes on over its own documents; the networks are
+averaged on executors and then on the driver, embeddings and outputs by how often each task has seen them. Tokens that stand together are masked
+in one step, as segments of ``SEGMENT`` of them: each embedding is then looked up once and shifted to all its places. The driver gets
 ``MERGED`` networks a round at most, whatever the corpus, and each is as large as the vocabulary.
 
 Defined results: null and empty texts have no tokens, log probability 0 and mean 0; beyond the ends of a text stands a pad token;
@@ -29,17 +30,28 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._common import forget, map_arrow, one_thread, texts, written
+from sluice.llm._common import chunks, forget, map_arrow, one_thread, texts, written
 
-#: Tokens on either side of a masked one; words a task counts or remembers before it hands them on; windows learned from or scored at a time.
+#: Tokens on either side of a masked one; words a task counts or remembers before it hands them on; tokens learned from or scored at a time.
 REACH, HELD, CHUNK = 4, 400_000, 200_000
+#: Tokens of a segment; segments scored at a time. Where in a segment's tokens the neighbours of its first masked one stand.
+SEGMENT, SCORED = 128, 256
+#: Rows of a product at a time, so that they stay in the processor's cache.
+BLOCK = 1024
+#: Tokens of a step where a task has few, and how often these come for each step at most.
+FEW, OFTEN = 2048, 64
+NEAR = (*range(REACH), *range(REACH + 1, 2 * REACH + 1))
 #: Networks that the driver gets after a round.
 MERGED = 8
 WORDS = re.compile(r"\w+|[^\w\s]+")
+#: A sign that no stretch and no token holds, and the pattern of tokens and of this sign.
+MARK = "\n"
+MARKED = re.compile(rf"{WORDS.pattern}|{MARK}")
 
 
 def bucket(word: str, buckets: int) -> int:
@@ -49,20 +61,41 @@ def bucket(word: str, buckets: int) -> int:
 
 
 class Known(dict):
-    """Numbers of words; those of other words, by bucket, are kept too, up to HELD of them."""
+    """Numbers of words; those of other words, by bucket, are kept too, up to HELD of them. The mark has the pad's."""
 
     def __init__(self, numbers: dict[str, int], buckets: int):
-        super().__init__(numbers)
+        super().__init__(numbers | {MARK: 0})
         self.numbers, self.buckets = numbers, buckets
 
-    def __missing__(self, word: str) -> int:
-        i = 1 + bucket(word, self.buckets)
-        if len(word) <= 64:
-            if len(self) >= len(self.numbers) + HELD:
-                self.clear()
-                self.update(self.numbers)
-            self[word] = i
-        return i
+    def all(self, words: list[str], kind) -> np.ndarray:
+        """The numbers of words."""
+        if len(self) > len(self.numbers) + HELD:
+            self.clear()
+            self.update(self.numbers | {MARK: 0})
+        new = [*set(words).difference(self)]
+        self.update(zip(new, [1 + bucket(w, self.buckets) for w in new], strict=True))
+        found = np.fromiter(map(self.__getitem__, words), kind, len(words))
+        for w in new:
+            if len(w) > 64:
+                del self[w]
+        return found
+
+
+def stretches(every: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """What stands between ASCII white space in some texts: where each text's stretches begin and the last one's end; the stretches.
+
+    No token holds white space, so a text's tokens are those of its stretches.
+    """
+    lists = pc.ascii_split_whitespace(every.fill_null(""))
+    return np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py(), lists.flatten()
+
+
+def tokens_of(different: pa.Array) -> list[str]:
+    """The tokens of some stretches, with a mark after each stretch."""
+    if not len(different):
+        return []
+    whole = pa.ListArray.from_arrays(pa.array([0, len(different)], pa.int32()), different)
+    return MARKED.findall(pc.binary_join(whole, MARK)[0].as_py() + MARK)
 
 
 @dataclass
@@ -84,24 +117,44 @@ class Vocabulary:
         self.cls, self.place = np.zeros(len(self.counts), np.int32), np.zeros(len(self.counts), np.int32)
         self.cls[order], self.place[order] = np.arange(size) // self.width, np.arange(size) % self.width
         self.classes = -(-size // self.width)
+        self.kind = np.uint16 if len(self.counts) <= 1 << 16 else np.int32
         #: Which places of a class have a token.
         self.used = np.zeros((self.classes, self.width), bool)
         self.used[self.cls[order], self.place[order]] = True
 
     def ids(self, text: str) -> list[int]:
-        if self._known is None:
-            self._known = Known(self.numbers, self.buckets)
-        return [*map(self._known.__getitem__, WORDS.findall(text))]
+        return self.stream([text])[0][REACH:-REACH].tolist()
 
-    def stream(self, every: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def stream(self, every: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of some texts with pads between and around them, and how many each text has."""
-        pad, out, sizes = [0] * REACH, [0] * REACH, []
-        for t in every:
-            ids = self.ids(t)
-            sizes.append(len(ids))
-            out += ids
-            out += pad
-        return np.array(out, np.int32), np.array(sizes, np.int64)
+        if self._known is None:
+            self._known = Known(self.numbers, self.buckets)
+        edges, found = stretches(pa.array(every, pa.string()) if isinstance(every, list) else every)
+        found = found.dictionary_encode()
+        flat = self._known.all(tokens_of(found.dictionary), self.kind)
+        # Of each different stretch, where its tokens end and how many it has.
+        ends = np.flatnonzero(flat == 0)
+        count = np.diff(ends, prepend=-1) - 1
+        each = np.asarray(found.indices, np.int64)
+        n = count[each]
+        to = np.r_[0, np.cumsum(n)]
+        sizes = np.diff(to[edges])
+        stream, k = np.zeros(to[-1] + REACH * (len(sizes) + 1), self.kind), np.arange(to[-1])
+        stream[k + np.repeat(REACH * np.arange(1, len(sizes) + 1), sizes)] = flat[k + np.repeat((ends - count)[each] - to[:-1], n)]
+        return stream, sizes
+
+
+def segments(stream: np.ndarray) -> np.ndarray:
+    """A stream's tokens in rows of SEGMENT, each with REACH tokens before and after it; the last row is filled with pads."""
+    n = max(0, len(stream) - 2 * REACH)
+    rows = -(-n // SEGMENT)
+    stream = np.r_[stream, np.zeros(rows * SEGMENT - n, stream.dtype)] if rows * SEGMENT > n else stream
+    return np.lib.stride_tricks.sliding_window_view(stream, SEGMENT + 2 * REACH)[::SEGMENT] if rows else np.zeros((0, SEGMENT + 2 * REACH), stream.dtype)
+
+
+def alone(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Segments of one token: ``y`` between its neighbours ``x``."""
+    return np.concatenate([x[:, :REACH], y[:, None], x[:, REACH:]], axis=1)
 
 
 def around(stream: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -109,6 +162,27 @@ def around(stream: np.ndarray, at: np.ndarray) -> np.ndarray:
     return stream[at[:, None] + np.r_[-REACH:0, 1 : REACH + 1]]
 
 
+def biased(h: np.ndarray) -> np.ndarray:
+    """Hidden layers with a one after them, for the bias."""
+    out = np.ones((len(h), h.shape[1] + 1), np.float32)
+    out[:, :-1] = h
+    return out
+
+
+def shares(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of the soft maximum at one place of each row; ``z`` is overwritten."""
+    right = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    return right - np.log(z @ np.ones(z.shape[1], np.float32))
+
+
+def by_class(c: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of tokens by class, and in it each class's number, begin and end."""
+    order = np.argsort(c, kind="stable")
+    edges = np.r_[0, np.flatnonzero(np.diff(c[order])) + 1, len(order)]
+    return order, [(int(c[order[a]]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+
+
 @dataclass
 class Network:
     """Embeddings (tokens, width), weights by position, a bias; the output for classes and, by class, for tokens, with biases."""
@@ -137,30 +211,51 @@ class Network:
         embed = r.normal(0, 0.3, (len(v.counts), width)).astype(f)
         return cls(v, embed, np.ones((2 * REACH, width), f), np.zeros(width, f), np.zeros((width, v.classes), f), whole.astype(f), np.zeros((v.classes, width, v.width), f), (each - whole[:, None]).astype(f))
 
-    def hidden(self, x: np.ndarray) -> np.ndarray:
-        h = np.broadcast_to(self.bias, (len(x), len(self.bias))).copy()
-        for p in range(x.shape[1]):
-            h += self.embed[x[:, p]] * self.weight[p]
-        return np.tanh(h, out=h)
+    def hidden(self, near: np.ndarray) -> np.ndarray:
+        """Of the embeddings of segments (segments, tokens and their neighbours, width), the hidden layer (segments, tokens, width)."""
+        width, size = near.shape[2], near.shape[1] - 2 * REACH
+        near, step = near.reshape(len(near), -1), max(1, BLOCK // size)
+        out, part = np.empty((len(near), size * width), np.float32), np.empty((step, size * width), np.float32)
+        weight, bias = np.tile(self.weight, size), np.tile(self.bias, size)
+        for a in range(0, len(near), step):
+            n, h = near[a : a + step], out[a : a + step]
+            np.multiply(n[:, : size * width], weight[0], out=h)
+            for j, at in enumerate(NEAR[1:], 1):
+                h += np.multiply(n[:, at * width : (at + size) * width], weight[j], out=part[: len(h)])
+            h += bias
+            np.tanh(h, out=h)
+        return out.reshape(-1, size, width)
+
+    def outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The outputs for classes and for tokens with their biases as a last row; what is not used has a bias that leaves it no share."""
+        return np.concatenate([self.cls, self.cls_bias[None]]), np.concatenate([self.out, np.maximum(self.out_bias, -1e30)[:, None]], axis=1)
 
     def log_prob(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Log probability of each masked token ``y`` in its context ``x``."""
-        out = np.empty(len(y))
-        for at in range(0, len(y), 32_768):
-            h, t = self.hidden(x[at : at + 32_768]), y[at : at + 32_768]
+        return self.log_probs(alone(x, y), np.ones((len(y), 1), bool))
+
+    def log_probs(self, tokens: np.ndarray, masked: np.ndarray) -> np.ndarray:
+        """Log probability of each token of some segments that is to be masked, in their order."""
+        classes, within = self.outputs()
+        out, step = [np.zeros(0)], max(1, SCORED * SEGMENT // max(1, masked.shape[1]))
+        for at in range(0, len(tokens), step):
+            part, which = tokens[at : at + step], np.flatnonzero(masked[at : at + step])
+            h = self.hidden(self.embed.take(part, axis=0)).reshape(-1, len(self.bias))
+            t = part[:, REACH : part.shape[1] - REACH].ravel()[which]
             c, place = self.vocabulary.cls[t], self.vocabulary.place[t]
-            z = h @ self.cls
-            z += self.cls_bias
-            part = z[np.arange(len(t)), c] - np.log(np.exp(z, out=z).sum(axis=1))
-            order = np.argsort(c, kind="stable")
-            edges = np.r_[0, np.flatnonzero(np.diff(c[order])) + 1, len(order)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                k = order[a:b]
-                z = h[k] @ self.out[c[k[0]]]
-                z += self.out_bias[c[k[0]]]
-                part[k] += z[np.arange(len(k)), place[k]] - np.log(np.exp(z, out=z).sum(axis=1))
-            out[at : at + 32_768] = part
-        return out
+            order, groups = by_class(c)
+            c, place, h = c[order], place[order], biased(h[which[order]])
+            share = np.empty(len(c))
+            for a in range(0, len(c), BLOCK):
+                share[a : a + BLOCK] = shares(h[a : a + BLOCK] @ classes, c[a : a + BLOCK])
+            for g, a, b in groups:
+                for a in range(a, b, BLOCK):
+                    to = min(b, a + BLOCK)
+                    share[a:to] += shares(h[a:to] @ within[g], place[a:to])
+            whole = np.empty(len(c))
+            whole[order] = share
+            out.append(whole)
+        return np.concatenate(out)
 
     def parameters(self) -> list[np.ndarray]:
         return [self.embed, self.weight, self.bias, self.cls, self.cls_bias, self.out, self.out_bias]
@@ -169,60 +264,110 @@ class Network:
 class Learner:
     """Gradient steps (Adagrad) on a network; ``seen`` and ``asked`` count how often embeddings and classes have been trained."""
 
-    def __init__(self, net: Network, rate: float = 0.05, batch: int = 2048, seed: int = 0):
+    def __init__(self, net: Network, rate: float = 0.05, batch: int = 8192, seed: int = 0):
         self.net, self.rate, self.batch, self.random = net, rate, batch, np.random.default_rng(seed)
         self.past = [np.full_like(p, 1e-6) for p in net.parameters()]
         self.seen, self.asked, self.tokens = np.zeros(len(net.embed)), np.zeros(len(net.out)), 0
 
     def learn(self, x: np.ndarray, y: np.ndarray, steps: int) -> None:
-        """Whole passes over some windows, ``steps`` steps in each at least; few windows come more often."""
-        passes = max(1, -(-steps * self.batch // max(1, len(y))))
-        for _ in range(passes if len(y) else 0):
-            order = self.random.permutation(len(y))
-            for at in range(0, len(order), self.batch):
-                k = order[at : at + self.batch]
-                self._step(x[k], y[k])
-        self.seen += np.bincount(x.ravel(), minlength=len(self.seen))
-        self.asked += np.bincount(self.net.vocabulary.cls[y], minlength=len(self.asked))
-        self.tokens += len(y)
+        """``study`` of masked tokens ``y`` in contexts ``x``."""
+        self.study(alone(x, y), np.ones((len(y), 1), bool), steps)
+
+    def study(self, tokens: np.ndarray, masked: np.ndarray, steps: int) -> None:
+        """Whole passes over the masked tokens of some segments, ``steps`` steps in all at least; few tokens come more often, up to OFTEN times a step."""
+        n, size = int(masked.sum()), masked.shape[1]
+        batch = min(self.batch, max(FEW, n // max(1, steps)))
+        passes = max(-(-steps // max(1, n // batch)), min(-(-steps * FEW // max(1, n)), OFTEN * steps))
+        each = max(1, batch * len(tokens) // max(1, n))
+        for _ in range(passes if n else 0):
+            order = self.random.permutation(len(tokens))
+            for at in range(0, len(order), each):
+                k = order[at : at + each]
+                self._step(tokens[k], masked[k])
+        # A token is seen as often as a masked one stands near.
+        near = np.zeros(tokens.shape, np.float32)
+        for at in NEAR:
+            near[:, at : at + size] += masked
+        self.seen += np.bincount(tokens.ravel(), near.ravel(), len(self.seen))
+        self.asked += np.bincount(self.net.vocabulary.cls[tokens[:, REACH : REACH + size][masked]], minlength=len(self.asked))
+        self.tokens += n
 
     def _move(self, k: int, grad: np.ndarray, rows=...) -> None:
-        past = self.past[k][rows] + grad * grad
-        self.past[k][rows] = past
-        self.net.parameters()[k][rows] -= self.rate * grad / np.sqrt(past)
-
-    def _step(self, x: np.ndarray, y: np.ndarray) -> None:
-        net, n = self.net, np.float32(1 / len(y))
-        h = net.hidden(x)
+        past = self.past[k][rows]
+        past += grad * grad
+        if isinstance(rows, np.ndarray):
+            self.past[k][rows] = past
+        step = np.sqrt(past)
+        np.divide(grad, step, out=step)
+        step *= self.rate
+        self.net.parameters()[k][rows] -= step
+
+    def _output(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Train the output on hidden layers and their tokens; the gradient of the hidden layers."""
+        net, n, width = self.net, np.float32(1 / len(y)), h.shape[1]
+        order, groups = by_class(net.vocabulary.cls[y])
+        h, y = biased(h[order]), y[order]
         c, place = net.vocabulary.cls[y], net.vocabulary.place[y]
-        p = np.exp(h @ net.cls + net.cls_bias)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(y)), c] -= 1
-        p *= n
-        back = p @ net.cls.T
-        order = np.argsort(c, kind="stable")
-        edges = np.r_[0, np.flatnonzero(np.diff(c[order])) + 1, len(order)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            k = order[a:b]
-            g = c[k[0]]
-            q = np.exp(h[k] @ net.out[g] + net.out_bias[g])
-            q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(k)), place[k]] -= 1
-            q *= n
-            back[k] += q @ net.out[g].T
-            self._move(5, h[k].T @ q, g)
-            bias = q.sum(axis=0)
-            bias[~net.vocabulary.used[g]] = 0
-            self._move(6, bias, g)
-        self._move(3, h.T @ p)
-        self._move(4, p.sum(axis=0))
+        classes, within = net.outputs()
+        back = np.zeros((len(h), width), np.float32)
+        ones = np.ones(max(classes.shape[1], within.shape[2]), np.float32)
+
+        def train(a, b, weights, at, grad):
+            """Add to the gradients: probabilities less what was right, over the number of tokens. Rows are scaled where they are short."""
+            p = h[a:b] @ weights
+            np.exp(p, out=p)
+            total = p @ ones[: p.shape[1]]
+            p[np.arange(b - a), at[a:b]] -= total
+            total = (n / total)[:, None]
+            back[a:b] += (p @ weights[:width].T) * total
+            grad += (h[a:b] * total).T @ p
+
+        grad = np.zeros_like(classes)
+        for a in range(0, len(h), BLOCK):
+            train(a, min(len(h), a + BLOCK), classes, c, grad)
+        every = np.array([g for g, _, _ in groups])
+        grads = np.zeros((len(groups), *within.shape[1:]), np.float32)
+        for k, (g, first, end) in enumerate(groups):
+            for a in range(first, end, BLOCK):
+                train(a, min(end, a + BLOCK), within[g], place, grads[k])
+        self._move(3, grad[:width])
+        self._move(4, grad[width])
+        self._move(5, grads[:, :width], every)
+        self._move(6, grads[:, width], every)
+        h = h[:, :width]
         back *= 1 - h * h
+        out = np.empty_like(back)
+        out[order] = back
+        return out
+
+    def _step(self, tokens: np.ndarray, masked: np.ndarray) -> None:
+        if masked.ndim == 1:
+            tokens, masked = alone(tokens, masked), np.ones((len(masked), 1), bool)
+        net, size, width = self.net, masked.shape[1], len(self.net.bias)
+        which = np.flatnonzero(masked)
+        if not len(which):
+            return
+        near = net.embed.take(tokens, axis=0)
+        back = self._output(net.hidden(near).reshape(-1, width)[which], tokens[:, REACH : REACH + size].ravel()[which])
         self._move(2, back.sum(axis=0))
-        rows, grads = x.T.ravel(), np.concatenate([back * net.weight[j] for j in range(x.shape[1])])
-        self._move(1, np.stack([(back * net.embed[x[:, j]]).sum(axis=0) for j in range(x.shape[1])]))
+        full = np.zeros((len(tokens), size, width), np.float32)
+        full.reshape(-1, width)[which] = back
+        grads, weight = np.zeros_like(near), np.zeros_like(net.weight)
+        step = max(1, BLOCK // size)
+        ones, room, tiled = np.ones(step * size, np.float32), np.empty((step, size * width), np.float32), np.tile(net.weight, size)
+        for a in range(0, len(near), step):
+            f, g, v = (x[a : a + step].reshape(len(x[a : a + step]), -1) for x in (full, grads, near))
+            part = room[: len(f)]
+            for j, at in enumerate(NEAR):
+                here = slice(at * width, (at + size) * width)
+                g[:, here] += np.multiply(f, tiled[j], out=part)
+                np.multiply(f, v[:, here], out=part)
+                weight[j] += ones[: len(f) * size] @ part.reshape(-1, width)
+        self._move(1, weight)
+        rows = tokens.ravel()
         order = np.argsort(rows, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(rows[order]) > 0])
-        self._move(0, np.add.reduceat(grads[order], first), rows[order[first]])
+        first = np.flatnonzero(np.r_[True, np.diff(rows[order].astype(np.int64)) > 0])
+        self._move(0, np.add.reduceat(grads.reshape(-1, width)[order], first), rows[order[first]])
 
     def state(self) -> bytes:
         """What is added up over tasks: parameters times how often they were trained, and these numbers."""
@@ -254,8 +399,16 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches):
         count: Counter = Counter()
         for batch in batches:
-            for t in texts(batch.column(0)):
-                count.update(WORDS.findall(t))
+            for part in chunks(batch):
+                found = stretches(part.column(0))[1].value_counts()
+                # Marks tell which stretch a token is of.
+                times = iter(np.asarray(found.field("counts")).tolist())
+                n = next(times, 0)
+                for w in tokens_of(found.field("values")):
+                    if w == MARK:
+                        n = next(times, 0)
+                    else:
+                        count[w] += n
                 if len(count) > HELD:
                     yield rows(count)
                     count.clear()
@@ -294,30 +447,25 @@ def train(df: DataFrame, text_col: str = "text", vocabulary: int = 6_000, bucket
         def learn(batches, sent=sent, k=k, rate=rate):
             one_thread()
             learner = None
-            xs, ys, held = [], [], 0
-            for batch in batches:
-                every = [t for t in texts(batch.column(0)) if t]
+            held = []
+            for part in (p for batch in batches for p in chunks(batch)):
+                # A text is learned from in one round, from one token in stride of it, beginning where its hash tells.
+                hashes = [(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")), t) for t in texts(part.column(0)) if t]
+                every = [(h % stride, t) for h, t in hashes if h // stride % rounds == k]
                 if not every:
                     continue
                 learner = learner or Learner(pickle.loads(zlib.decompress(sent.value)), rate, seed=seed + k)
-                for at in range(0, len(every), 256):
-                    part = every[at : at + 256]
-                    stream, sizes = learner.net.vocabulary.stream(part)
-                    start = REACH + np.cumsum(sizes + REACH) - sizes - REACH
-                    # Of each text one token in stride, from a place its hash tells; over all rounds, each of them once.
-                    first = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) % stride for t in part])
-                    where = [np.arange(f + stride * k, n, stride * rounds) + s for f, n, s in zip(first, sizes, start, strict=True)]
-                    where = np.concatenate(where).astype(np.int64)
-                    xs.append(around(stream, where))
-                    ys.append(stream[where])
-                    held += len(where)
-                    if held >= CHUNK:
-                        learner.learn(np.concatenate(xs), np.concatenate(ys), 1)
-                        xs, ys, held = [], [], 0
+                stream, sizes = learner.net.vocabulary.stream([t for _, t in every])
+                start = np.cumsum(sizes + REACH) - sizes - REACH
+                for found in cut(stream, [np.arange(f, n, stride) + s for (f, _), n, s in zip(every, sizes, start, strict=True)]):
+                    held.append(found)
+                    if sum(int(masked.sum()) for _, masked in held) >= CHUNK:
+                        learner.study(*map(np.concatenate, zip(*held, strict=True)), 1)
+                        held = []
             if learner is None:
                 return
             if held:
-                learner.learn(np.concatenate(xs), np.concatenate(ys), max(1, steps - learner.tokens // learner.batch))
+                learner.study(*map(np.concatenate, zip(*held, strict=True)), max(1, steps - learner.tokens // learner.batch))
             if learner.tokens:
                 yield pa.record_batch([pa.array([learner.state()], pa.binary())], names=["state"])
 
@@ -345,6 +493,20 @@ def train(df: DataFrame, text_col: str = "text", vocabulary: int = 6_000, bucket
     return own
 
 
+def cut(stream: np.ndarray, where: list[np.ndarray]):
+    """Segments of a stream, and which of their tokens stand at ``where``, at most CHUNK tokens at a time; segments without any are left out."""
+    if not len(stream) > 2 * REACH or not where:
+        return
+    tokens = segments(stream)
+    masked = np.zeros(len(tokens) * SEGMENT, bool)
+    masked[np.concatenate(where).astype(np.int64)] = True
+    masked = masked.reshape(-1, SEGMENT)
+    some = np.flatnonzero(masked.any(axis=1))
+    for at in range(0, len(some), CHUNK // SEGMENT):
+        k = some[at : at + CHUNK // SEGMENT]
+        yield tokens[k], masked[k]
+
+
 _KEPT: dict[str, Network] = {}
 
 
@@ -361,9 +523,9 @@ def score(df: DataFrame, network: Network, id_col: str = "doc_id", text_col: str
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         one_thread()
         net = get()
-        stream, sizes = net.vocabulary.stream(texts(batch.column(1)))
-        where = np.flatnonzero(stream)
-        each = np.concatenate([net.log_prob(around(stream, where[at : at + CHUNK]), stream[where[at : at + CHUNK]]) for at in range(0, len(where), CHUNK)] or [np.zeros(0)])
+        stream, sizes = net.vocabulary.stream(batch.column(1))
+        tokens = segments(stream)
+        each = net.log_probs(tokens, tokens[:, REACH : REACH + SEGMENT] > 0)
         total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), each, len(sizes)).astype(np.float64)
         return pa.record_batch([batch.column(0), pa.array(sizes), pa.array(total), pa.array(total / np.maximum(sizes, 1))], names=[id_col, "n_tokens", "log_prob", "mean_log_prob"])
 

@@ -145,3 +145,19 @@ def test_held_out_text_in_its_order_beats_shuffled_words_and_unigrams(spark):
     print(np.mean(true), np.mean(mixed), np.mean(unigram))
     assert np.mean(true) > np.mean(unigram) + 0.3
     assert np.mean(true) > np.mean(mixed)
+
+
+def test_query_learns_from_every_token(spark, monkeypatch):
+    nets, train = [], pseudolm.train
+    monkeypatch.setattr(pseudolm, "train", lambda *a, **k: nets.append(train(*a, **k)) or nets[-1])
+    rows = op6_pseudolm(spark, AT).collect()
+    assert nets[0].learned == sum(x.n_tokens for x in rows) > 0
+
+
+def test_tokens_are_those_of_the_pattern_whatever_stands_between():
+    v = small().vocabulary
+    every = ["", "w1 w2", " w3,\tw4\r\n\nw5\x0bw6 ", "w7\xa0w8 w9\x1cw10\x85x​y", "\n", "é—w1…w2 " + "x" * 70, "w1"]
+    stream, sizes = v.stream(every)
+    want = [[v.numbers.get(w, 1 + pseudolm.bucket(w, v.buckets)) for w in pseudolm.WORDS.findall(t)] for t in every]
+    assert sizes.tolist() == [*map(len, want)]
+    assert stream.tolist() == [0] * 4 + [x for ids in want for x in [*ids, 0, 0, 0, 0]]
