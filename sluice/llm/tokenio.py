@@ -29,6 +29,7 @@ import struct
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,8 @@ class LibraryEncoder:
     where no space has white space beside it, a text's ids are those of its first stretch and of " stretch" for all others; each
     stretch is encoded by the library once and then found in the cache. Where spaces do have white space beside them, the
     text is first cut before each such run's last space, which is where the library cuts it too.
+
+    New words that begin with a space go to the library as one text: it cuts it before each space again, and the bytes of its tokens tell whose they are.
     """
 
     def __init__(self, path: str):
@@ -67,28 +70,61 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self._bytes = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, i in self.library.get_vocab().items():
+            self._bytes[i] = len(token)
         self._stretches, self._words = Cache(CACHE_ENTRIES), Cache(CACHE_ENTRIES)
 
     def _library(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of words, those behind a space in one text; a token of a byte-level vocabulary has a sign for each byte."""
+        joined = [w for w in words if w[0] == " " and len(w) > 1 and not w[1].isspace()]
+        if len(joined) < 2:
+            return self._library(words)
+        ids = np.array(self.library.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, np.uint32)
+        upto, ends = np.cumsum(self._bytes[ids]), np.cumsum([len(w.encode()) for w in joined])
+        to = np.searchsorted(upto, ends, "right")
+        if not np.array_equal(upto[to - 1], ends):
+            return self._library(words)
+        raw, edges = ids.tobytes(), (4 * to).tolist()
+        found = {w: raw[a:b] for w, a, b in zip(joined, [0, *edges], edges, strict=False)}
+        if len(found) < len(words):
+            other = [w for w in words if w not in found]
+            found |= zip(other, self._library(other), strict=True)
+        return [found[w] for w in words]
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if any(t in text for t in self.special) or not text.isascii() and BESIDE_WIDE.search(text):
-            return self._library([text])[0]
-        if any(p in text for p in BESIDE):
-            parts = CUT.split(text)
-        else:
-            parts = text.split(" ")
-        parts = [f" {p}" for p in parts]
-        parts[0] = parts[0][1:]
-        return b"".join(self._stretches.all(parts, self._split))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, every: list[str]) -> list[bytes]:
+        """Ids of some texts; what is new in them goes to the library together."""
+        out, first, parts, spans = [b""] * len(every), [], [], []
+        for k, text in enumerate(every):
+            if any(t in text for t in self.special) or not text.isascii() and BESIDE_WIDE.search(text):
+                out[k] = self._library([text])[0]
+                continue
+            own = CUT.split(text) if any(p in text for p in BESIDE) else text.split(" ")
+            first.append(own.pop(0))
+            at = len(parts)
+            parts += own
+            spans.append((k, at, len(parts)))
+        parts = self._stretches.all(parts, self._behind)
+        for (k, a, b), start in zip(spans, self._split(first), strict=True):
+            out[k] = start + b"".join(parts[a:b])
+        return out
+
+    def _behind(self, stretches: list[str]) -> list[bytes]:
+        """Ids of stretches behind a space each."""
+        return self._split([f" {s}" for s in stretches])
 
     def _split(self, stretches: list[str]) -> list[bytes]:
         """Ids of stretches: those that the pattern of common alphabets covers are put together from words."""
         plain = [s for s in stretches if narrow(s)]
         words = [PIECES(s) for s in plain]
-        flat = self._words.all([w for ws in words for w in ws], self._library)
+        flat = self._words.all([w for ws in words for w in ws], self._spaced)
         ids, at = {}, 0
         for s, ws in zip(plain, words, strict=True):
             to = at + len(ws)
@@ -116,8 +152,9 @@ class Cache:
             found = dict(zip(new, make(new), strict=True))
             for i in at:
                 got[i] = found[keys[i]]
-            if len(self.known) < self.entries:
-                self.known |= {k: v for k, v in found.items() if len(k) <= 64}
+            room = self.entries - len(self.known)
+            if room > 0:
+                self.known |= islice(((k, v) for k, v in found.items() if len(k) <= 64), room)
         return got
 
 
@@ -215,7 +252,7 @@ def write(df: DataFrame, vocabulary: str, path: str, end_id: int = 2, sample_doc
     source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
 
     def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
-        every = [planes(encoder(vocabulary).encode(t) + end) for t in texts(batch.column(0))]
+        every = [planes(ids + end) for ids in encoder(vocabulary).encode_all(texts(batch.column(0)))]
         return pa.record_batch([pa.array([e[at : at + PIECE] for e in every for at in range(0, len(e), PIECE)], pa.binary())], names=["raw"])
 
     size = source.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
@@ -240,8 +277,8 @@ def write(df: DataFrame, vocabulary: str, path: str, end_id: int = 2, sample_doc
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, zipper = encoder(vocabulary), codec(shared.value)[0]
         sizes, frames = [], []
-        for t in texts(batch.column(1)):
-            ids = own.encode(t) + end
+        for ids in own.encode_all(texts(batch.column(1))):
+            ids += end
             sizes.append(len(ids) // 4)
             frames.append(zipper.compress(planes(ids)))
         tie = np.array([zlib.crc32(f) for f in frames], np.int64)

@@ -83,3 +83,24 @@ def test_tasks_follow_the_bytes(spark, tmp_path):
     assert shards.groupBy("part").count().count() > 80
     got = sorted(map(tuple, tokenio.read(spark, str(tmp_path / "many"), digest=True).collect()), key=lambda x: x[1])
     assert got == want(rows)
+
+
+def test_new_words_go_to_the_library_together():
+    own, sent = tokenio.LibraryEncoder(PATH), []
+
+    class Told:
+        def encode_batch_fast(self, parts, **more):
+            sent.extend(parts)
+            return library.encode_batch_fast(parts, **more)
+
+    library, own.library = own.library, Told()
+    r = np.random.default_rng(4)
+    signs = np.array([*"abcdeéñß019'’s.,-_<|>\x1ć你ǅ½ª", "'s", "'ll"])
+    every = [" ".join("".join(r.choice(signs, r.integers(1, 9))) for _ in range(200)) for _ in range(20)]
+    every += ["", " ", "one", " <|endoftext|> x", "a \n b  c  d", " 's 'll  x "]
+    got = own.encode_all(every)
+    assert got == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in every]
+    sent.clear()
+    words = [f"q{k}x{'abc'[k % 3]}" for k in range(1000)] + ["plain" + "".join(r.choice([*"abcdefgh"], 9)) for _ in range(1000)]
+    assert own.encode(" ".join(words)) == np.array(library.encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(sent) < 1200
