@@ -4,8 +4,10 @@ Tokens are words, as they are written, and runs of other signs between white spa
 whole corpus have a number of their own; any other has that of its bucket, one of ``buckets`` by XXH64, so every text has a number for each
 token. A network sees ``REACH`` tokens on either side of a masked one: their embeddings, weighted by position, are added up, and after a tanh
 layer give the masked token's class and, within the class, the token. Every token of a document is predicted from both sides, and the logarithms of
-the probabilities are summed. Classes are tokens of like frequency, about as many as each has members, so a token costs twice the root of the
-vocabulary, not all of it.
+the probabilities are summed. Classes are tokens of like frequency, few frequent or many rare ones, cut so that a token has the fewest outputs in the mean:
+some twice the root of the vocabulary, not all of it.
+
+Texts are cut into tokens twice, once to count them and once to write their numbers; learning and scores read these.
 
 The network is trained in numpy. All words of all documents are counted, which gives the vocabulary, the classes and the output's first biases: training
 begins at the unigram model. Every document is learned from in one of ``rounds`` rounds, by a hash of its text: one masked token in ``stride``, with
@@ -67,18 +69,18 @@ class Known(dict):
         super().__init__(numbers | {MARK: 0})
         self.numbers, self.buckets = numbers, buckets
 
+    def __missing__(self, word: str) -> int:
+        found = 1 + bucket(word, self.buckets)
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
     def all(self, words: list[str], kind) -> np.ndarray:
         """The numbers of words."""
         if len(self) > len(self.numbers) + HELD:
             self.clear()
             self.update(self.numbers | {MARK: 0})
-        new = [*set(words).difference(self)]
-        self.update(zip(new, [1 + bucket(w, self.buckets) for w in new], strict=True))
-        found = np.fromiter(map(self.__getitem__, words), kind, len(words))
-        for w in new:
-            if len(w) > 64:
-                del self[w]
-        return found
+        return np.fromiter(map(self.__getitem__, words), kind, len(words))
 
 
 def stretches(every: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -98,6 +100,26 @@ def tokens_of(different: pa.Array) -> list[str]:
     return MARKED.findall(pc.binary_join(whole, MARK)[0].as_py() + MARK)
 
 
+def class_edges(counts: np.ndarray) -> np.ndarray:
+    """Where to cut tokens, by falling frequency, into classes, so that the mean number of outputs for a token is least: all classes, and its class's tokens.
+
+    Frequent tokens get small classes, rare ones large ones. Cuts are looked for at some 300 places.
+    """
+    size = len(counts)
+    upto = np.r_[0, np.cumsum(counts + 0.5)]
+    upto /= upto[-1]
+    at = np.unique(np.r_[np.arange(0, min(size, 256), 8), np.linspace(0, size, 257).astype(int)])
+    best, before = np.zeros(len(at)), np.zeros(len(at), int)
+    for j in range(1, len(at)):
+        cost = best[:j] + 1 + (upto[at[j]] - upto[at[:j]]) * (at[j] - at[:j])
+        before[j] = cost.argmin()
+        best[j] = cost[before[j]]
+    edges = [len(at) - 1]
+    while edges[-1]:
+        edges.append(int(before[edges[-1]]))
+    return at[edges[::-1]]
+
+
 @dataclass
 class Vocabulary:
     """Numbers of tokens: 0 the pad, then buckets, then words; by number, how often each comes, its class, and its place in the class."""
@@ -112,21 +134,30 @@ class Vocabulary:
 
     def __post_init__(self) -> None:
         size = max(1, len(self.counts) - 1)
-        self.width = int(np.ceil(np.sqrt(size)))
         order = 1 + np.lexsort((np.arange(size), -self.counts[1 : 1 + size]))
-        self.cls, self.place = np.zeros(len(self.counts), np.int32), np.zeros(len(self.counts), np.int32)
-        self.cls[order], self.place[order] = np.arange(size) // self.width, np.arange(size) % self.width
-        self.classes = -(-size // self.width)
+        #: Where each class begins among the tokens by frequency, and the last one ends.
+        self.edges = class_edges(self.counts[order])
+        sizes = np.diff(self.edges)
+        self.width, self.classes = int(sizes.max()), len(sizes)
+        #: The class and the place of each token by frequency.
+        self.ranked = np.repeat(np.arange(self.classes), sizes), np.arange(size) - np.repeat(self.edges[:-1], sizes)
+        self.cls, self.place = np.zeros(1 + size, np.int32), np.zeros(1 + size, np.int32)
+        self.cls[order], self.place[order] = self.ranked
         self.kind = np.uint16 if len(self.counts) <= 1 << 16 else np.int32
         #: Which places of a class have a token.
         self.used = np.zeros((self.classes, self.width), bool)
-        self.used[self.cls[order], self.place[order]] = True
+        self.used[self.ranked] = True
 
     def ids(self, text: str) -> list[int]:
         return self.stream([text])[0][REACH:-REACH].tolist()
 
     def stream(self, every: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of some texts with pads between and around them, and how many each text has."""
+        flat, sizes = self.flat(every)
+        return padded(flat, sizes), sizes
+
+    def flat(self, every: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of some texts one after another, and how many each text has."""
         if self._known is None:
             self._known = Known(self.numbers, self.buckets)
         edges, found = stretches(pa.array(every, pa.string()) if isinstance(every, list) else every)
@@ -138,10 +169,19 @@ class Vocabulary:
         each = np.asarray(found.indices, np.int64)
         n = count[each]
         to = np.r_[0, np.cumsum(n)]
-        sizes = np.diff(to[edges])
-        stream, k = np.zeros(to[-1] + REACH * (len(sizes) + 1), self.kind), np.arange(to[-1])
-        stream[k + np.repeat(REACH * np.arange(1, len(sizes) + 1), sizes)] = flat[k + np.repeat((ends - count)[each] - to[:-1], n)]
-        return stream, sizes
+        return flat[np.arange(to[-1]) + np.repeat((ends - count)[each] - to[:-1], n)], np.diff(to[edges])
+
+
+def padded(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The tokens of some texts with pads between and around them."""
+    stream = np.zeros(len(flat) + REACH * (len(sizes) + 1), flat.dtype)
+    stream[np.arange(len(flat)) + np.repeat(REACH * np.arange(1, len(sizes) + 1), sizes)] = flat
+    return stream
+
+
+def unpacked(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """What ``Vocabulary.flat`` gives, from numbers as bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind), np.asarray(pc.binary_length(column), np.int64) // np.dtype(kind).itemsize
 
 
 def segments(stream: np.ndarray) -> np.ndarray:
@@ -162,15 +202,10 @@ def around(stream: np.ndarray, at: np.ndarray) -> np.ndarray:
     return stream[at[:, None] + np.r_[-REACH:0, 1 : REACH + 1]]
 
 
-def biased(h: np.ndarray) -> np.ndarray:
-    """Hidden layers with a one after them, for the bias."""
-    out = np.ones((len(h), h.shape[1] + 1), np.float32)
-    out[:, :-1] = h
-    return out
-
-
-def shares(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The logarithm of the soft maximum at one place of each row; ``z`` is overwritten."""
+def shares(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of the soft maximum of hidden layers' outputs, at one place of each row."""
+    z = h @ weights.T
+    z += bias
     right = z[np.arange(len(z)), at]
     np.exp(z, out=z)
     return right - np.log(z @ np.ones(z.shape[1], np.float32))
@@ -226,9 +261,10 @@ class Network:
             np.tanh(h, out=h)
         return out.reshape(-1, size, width)
 
-    def outputs(self) -> tuple[np.ndarray, np.ndarray]:
-        """The outputs for classes and for tokens with their biases as a last row; what is not used has a bias that leaves it no share."""
-        return np.concatenate([self.cls, self.cls_bias[None]]), np.concatenate([self.out, np.maximum(self.out_bias, -1e30)[:, None]], axis=1)
+    def ranked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The outputs for tokens and their biases, by frequency, one after another: those of a class stand together, and none is unused."""
+        c, place = self.vocabulary.ranked
+        return self.out[c, :, place], self.out_bias[c, place]
 
     def log_prob(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Log probability of each masked token ``y`` in its context ``x``."""
@@ -236,7 +272,7 @@ class Network:
 
     def log_probs(self, tokens: np.ndarray, masked: np.ndarray) -> np.ndarray:
         """Log probability of each token of some segments that is to be masked, in their order."""
-        classes, within = self.outputs()
+        classes, (within, bias), edges = np.ascontiguousarray(self.cls.T), self.ranked(), self.vocabulary.edges
         out, step = [np.zeros(0)], max(1, SCORED * SEGMENT // max(1, masked.shape[1]))
         for at in range(0, len(tokens), step):
             part, which = tokens[at : at + step], np.flatnonzero(masked[at : at + step])
@@ -244,14 +280,15 @@ class Network:
             t = part[:, REACH : part.shape[1] - REACH].ravel()[which]
             c, place = self.vocabulary.cls[t], self.vocabulary.place[t]
             order, groups = by_class(c)
-            c, place, h = c[order], place[order], biased(h[which[order]])
+            c, place, h = c[order], place[order], h[which[order]]
             share = np.empty(len(c))
             for a in range(0, len(c), BLOCK):
-                share[a : a + BLOCK] = shares(h[a : a + BLOCK] @ classes, c[a : a + BLOCK])
+                share[a : a + BLOCK] = shares(h[a : a + BLOCK], classes, self.cls_bias, c[a : a + BLOCK])
             for g, a, b in groups:
+                own = slice(edges[g], edges[g + 1])
                 for a in range(a, b, BLOCK):
                     to = min(b, a + BLOCK)
-                    share[a:to] += shares(h[a:to] @ within[g], place[a:to])
+                    share[a:to] += shares(h[a:to], within[own], bias[own], place[a:to])
             whole = np.empty(len(c))
             whole[order] = share
             out.append(whole)
@@ -266,7 +303,9 @@ class Learner:
 
     def __init__(self, net: Network, rate: float = 0.05, batch: int = 8192, seed: int = 0):
         self.net, self.rate, self.batch, self.random = net, rate, batch, np.random.default_rng(seed)
-        self.past = [np.full_like(p, 1e-6) for p in net.parameters()]
+        #: What is trained: the network's arrays, but outputs for tokens as rows by frequency, which ``study`` puts back.
+        self.own = [*net.parameters()[:5], *net.ranked()]
+        self.past = [np.full_like(p, 1e-6) for p in self.own]
         self.seen, self.asked, self.tokens = np.zeros(len(net.embed)), np.zeros(len(net.out)), 0
 
     def learn(self, x: np.ndarray, y: np.ndarray, steps: int) -> None:
@@ -284,6 +323,8 @@ class Learner:
             for at in range(0, len(order), each):
                 k = order[at : at + each]
                 self._step(tokens[k], masked[k])
+        c, place = self.net.vocabulary.ranked
+        self.net.out[c, :, place], self.net.out_bias[c, place] = self.own[5:]
         # A token is seen as often as a masked one stands near.
         near = np.zeros(tokens.shape, np.float32)
         for at in NEAR:
@@ -293,6 +334,8 @@ class Learner:
         self.tokens += n
 
     def _move(self, k: int, grad: np.ndarray, rows=...) -> None:
+        """A step of the network's array ``k`` at ``rows``, which for outputs of tokens are all of them."""
+        rows = ... if k > 4 else rows
         past = self.past[k][rows]
         past += grad * grad
         if isinstance(rows, np.ndarray):
@@ -300,41 +343,44 @@ class Learner:
         step = np.sqrt(past)
         np.divide(grad, step, out=step)
         step *= self.rate
-        self.net.parameters()[k][rows] -= step
+        self.own[k][rows] -= step
 
     def _output(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Train the output on hidden layers and their tokens; the gradient of the hidden layers."""
-        net, n, width = self.net, np.float32(1 / len(y)), h.shape[1]
-        order, groups = by_class(net.vocabulary.cls[y])
-        h, y = biased(h[order]), y[order]
-        c, place = net.vocabulary.cls[y], net.vocabulary.place[y]
-        classes, within = net.outputs()
-        back = np.zeros((len(h), width), np.float32)
-        ones = np.ones(max(classes.shape[1], within.shape[2]), np.float32)
-
-        def train(a, b, weights, at, grad):
+        v, n = self.net.vocabulary, np.float32(1 / len(y))
+        order, groups = by_class(v.cls[y])
+        h, y = h[order], y[order]
+        c, place = v.cls[y], v.place[y]
+        back = np.zeros_like(h)
+        ones = np.ones(max(v.classes, v.width), np.float32)
+        classes, (within, bias) = np.ascontiguousarray(self.own[3].T), self.own[5:]
+
+        def train(a, b, weights, bias, at, grad, grad_bias):
             """Add to the gradients: probabilities less what was right, over the number of tokens. Rows are scaled where they are short."""
-            p = h[a:b] @ weights
+            p = h[a:b] @ weights.T
+            p += bias
             np.exp(p, out=p)
             total = p @ ones[: p.shape[1]]
-            p[np.arange(b - a), at[a:b]] -= total
-            total = (n / total)[:, None]
-            back[a:b] += (p @ weights[:width].T) * total
-            grad += (h[a:b] * total).T @ p
-
-        grad = np.zeros_like(classes)
+            p[ranks[: b - a], at[a:b]] -= total
+            total = n / total
+            grad_bias += total @ p
+            total = total[:, None]
+            back[a:b] += (p @ weights) * total
+            grad += p.T @ (h[a:b] * total)
+
+        ranks = np.arange(BLOCK)
+        grad, grad_bias = np.zeros_like(classes), np.zeros_like(self.own[4])
         for a in range(0, len(h), BLOCK):
-            train(a, min(len(h), a + BLOCK), classes, c, grad)
-        every = np.array([g for g, _, _ in groups])
-        grads = np.zeros((len(groups), *within.shape[1:]), np.float32)
-        for k, (g, first, end) in enumerate(groups):
+            train(a, min(len(h), a + BLOCK), classes, self.own[4], c, grad, grad_bias)
+        grads, grads_bias = np.zeros_like(within), np.zeros_like(bias)
+        for g, first, end in groups:
+            own = slice(v.edges[g], v.edges[g + 1])
             for a in range(first, end, BLOCK):
-                train(a, min(end, a + BLOCK), within[g], place, grads[k])
-        self._move(3, grad[:width])
-        self._move(4, grad[width])
-        self._move(5, grads[:, :width], every)
-        self._move(6, grads[:, width], every)
-        h = h[:, :width]
+                train(a, min(end, a + BLOCK), within[own], bias[own], place, grads[own], grads_bias[own])
+        self._move(3, grad.T)
+        self._move(4, grad_bias)
+        self._move(5, grads, (v.ranked[0], slice(None), v.ranked[1]))
+        self._move(6, grads_bias, v.ranked)
         back *= 1 - h * h
         out = np.empty_like(back)
         out[order] = back
@@ -372,8 +418,9 @@ class Learner:
     def state(self) -> bytes:
         """What is added up over tasks: parameters times how often they were trained, and these numbers."""
         net = self.net
-        by = [self.seen[:, None], self.tokens, self.tokens, self.tokens, self.tokens, self.asked[:, None, None], self.asked[:, None]]
-        parts = [np.where(np.isfinite(p), p, 0) * np.float32(w) if np.isscalar(w) else np.where(np.isfinite(p), p, 0) * w.astype(np.float32) for p, w in zip(net.parameters(), by, strict=True)]
+        asked = self.asked[net.vocabulary.ranked[0]]
+        by = [self.seen[:, None], self.tokens, self.tokens, self.tokens, self.tokens, asked[:, None], asked]
+        parts = [p * np.float32(w) if np.isscalar(w) else p * w.astype(np.float32) for p, w in zip([*net.parameters()[:5], *net.ranked()], by, strict=True)]
         return pickle.dumps([np.float32(self.tokens), self.seen.astype(np.float32), self.asked.astype(np.float32), *parts])
 
 
@@ -385,9 +432,12 @@ def added(states: list[bytes]) -> bytes:
 def averaged(before: Network, state: bytes) -> Network:
     """The mean network of all tasks; what none of them has trained stays."""
     tokens, seen, asked, *parts = pickle.loads(state)
-    by = [seen[:, None], tokens, tokens, tokens, tokens, asked[:, None, None], asked[:, None]]
-    new = [np.where((w > 0) & np.isfinite(old), total / np.maximum(w, 1), old).astype(np.float32) for old, total, w in zip(before.parameters(), parts, by, strict=True)]
-    return Network(before.vocabulary, *new, learned=before.learned + int(tokens))
+    c, place = before.vocabulary.ranked
+    by = [seen[:, None], tokens, tokens, tokens, tokens, asked[c][:, None], asked[c]]
+    *new, within, bias = [np.where(w > 0, total / np.maximum(w, 1), old).astype(np.float32) for old, total, w in zip([*before.parameters()[:5], *before.ranked()], parts, by, strict=True)]
+    out, out_bias = before.out.copy(), before.out_bias.copy()
+    out[c, :, place], out_bias[c, place] = within, bias
+    return Network(before.vocabulary, *new, out, out_bias, learned=before.learned + int(tokens))
 
 
 def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -434,10 +484,42 @@ def vocabulary_of(df: DataFrame, text_col: str, vocabulary: int, buckets: int) -
     return Vocabulary(numbers, buckets, n)
 
 
-def train(df: DataFrame, text_col: str = "text", vocabulary: int = 6_000, buckets: int = 2_000, width: int = 32, stride: int = 8, rounds: int = 2, steps: int = 60, seed: int = 7) -> Network:
+@dataclass
+class Numbered:
+    """A corpus in numbers: a written table of the ``id``, the text's ``hash`` and its tokens' ``numbers`` of each row. Training and scores then read no text."""
+
+    vocabulary: Vocabulary
+    rows: DataFrame
+
+
+def numbered(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 6_000, buckets: int = 2_000) -> Numbered:
+    """Count the words of a corpus, then write its rows in numbers to the shared folder."""
+    found = vocabulary_of(df, text_col, vocabulary, buckets)
+    sent, key = df.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(found), 1)), uuid.uuid4().hex
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        flat, sizes = kept(key, sent).flat(batch.column(1))
+        raw, to = flat.tobytes(), (np.r_[0, np.cumsum(sizes)] * flat.itemsize).tolist()
+        hashes = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in texts(batch.column(1))]
+        each = pa.array([raw[a:b] for a, b in zip(to[:-1], to[1:], strict=True)], pa.binary())
+        return pa.record_batch([batch.column(0), pa.array(hashes, pa.int64()), each], names=["id", "hash", "numbers"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = written(map_arrow(df, [df[id_col].alias("id"), df[text_col].alias("__text")], run, f"id {kind}, hash bigint, numbers binary"), "numbers")
+    sent.unpersist()
+    return Numbered(found, rows)
+
+
+def train(df: DataFrame | Numbered, text_col: str = "text", vocabulary: int = 6_000, buckets: int = 2_000, width: int = 32, stride: int = 8, rounds: int = 2, steps: int = 60, seed: int = 7) -> Network:
     """The network of a corpus. ``steps``: gradient steps that a task makes over its windows at least; few windows come more often."""
-    spark = df.sparkSession
-    own = Network.new(vocabulary_of(df, text_col, vocabulary, buckets), width, seed)
+    if isinstance(df, DataFrame):
+        corpus = numbered(df, text_col, text_col, vocabulary, buckets)
+        try:
+            return train(corpus, text_col, vocabulary, buckets, width, stride, rounds, steps, seed)
+        finally:
+            forget(corpus.rows)
+    spark, corpus = df.rows.sparkSession, df.rows.select("hash", "numbers")
+    own = Network.new(df.vocabulary, width, seed)
     if not own.vocabulary.counts.sum():
         return own
     for k in range(rounds):
@@ -450,14 +532,14 @@ def train(df: DataFrame, text_col: str = "text", vocabulary: int = 6_000, bucket
             held = []
             for part in (p for batch in batches for p in chunks(batch)):
                 # A text is learned from in one round, from one token in stride of it, beginning where its hash tells.
-                hashes = [(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")), t) for t in texts(part.column(0)) if t]
-                every = [(h % stride, t) for h, t in hashes if h // stride % rounds == k]
-                if not every:
+                hashes = np.asarray(part.column(0))
+                now = hashes // stride % rounds == k
+                if not now.any():
                     continue
                 learner = learner or Learner(pickle.loads(zlib.decompress(sent.value)), rate, seed=seed + k)
-                stream, sizes = learner.net.vocabulary.stream([t for _, t in every])
+                flat, sizes = unpacked(part.column(1).filter(pa.array(now)), learner.net.vocabulary.kind)
                 start = np.cumsum(sizes + REACH) - sizes - REACH
-                for found in cut(stream, [np.arange(f, n, stride) + s for (f, _), n, s in zip(every, sizes, start, strict=True)]):
+                for found in cut(padded(flat, sizes), [np.arange(f, n, stride) + s for f, n, s in zip(hashes[now] % stride, sizes, start, strict=True)]):
                     held.append(found)
                     if sum(int(masked.sum()) for _, masked in held) >= CHUNK:
                         learner.study(*map(np.concatenate, zip(*held, strict=True)), 1)
@@ -477,7 +559,7 @@ def train(df: DataFrame, text_col: str = "text", vocabulary: int = 6_000, bucket
             if total is not None:
                 yield pa.record_batch([pa.array([total], pa.binary())], names=["state"])
 
-        states = written(df.select(df[text_col].alias("__text")).mapInArrow(learn, "state binary"), "networks")
+        states = written(corpus.mapInArrow(learn, "state binary"), "networks")
         # Networks are added up in steps of one task for eight of them, so none adds up all.
         n = states.count()
         while n > MERGED:
@@ -507,27 +589,31 @@ def cut(stream: np.ndarray, where: list[np.ndarray]):
         yield tokens[k], masked[k]
 
 
-_KEPT: dict[str, Network] = {}
+_KEPT: dict[str, Network | Vocabulary] = {}
+
 
+def kept(key: str, sent) -> Network | Vocabulary:
+    """What was sent to all tasks under a key; a process keeps one."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = pickle.loads(zlib.decompress(sent.value))
+    return _KEPT[key]
 
-def score(df: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col``, ``n_tokens``, ``log_prob`` (the sum over all tokens) and ``mean_log_prob``."""
-    sent, key = df.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(network), 1)), uuid.uuid4().hex
 
-    def get() -> Network:
-        if key not in _KEPT:
-            _KEPT.clear()
-            _KEPT[key] = pickle.loads(zlib.decompress(sent.value))
-        return _KEPT[key]
+def score(df: DataFrame | Numbered, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``id_col``, ``n_tokens``, ``log_prob`` (the sum over all tokens) and ``mean_log_prob``. What is ``Numbered`` has the network's vocabulary."""
+    rows, text_col, own_id = (df.rows, "numbers", "id") if isinstance(df, Numbered) else (df, text_col, id_col)
+    sent, key = rows.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(network), 1)), uuid.uuid4().hex
+    packed = isinstance(df, Numbered)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         one_thread()
-        net = get()
-        stream, sizes = net.vocabulary.stream(batch.column(1))
-        tokens = segments(stream)
+        net = kept(key, sent)
+        flat, sizes = unpacked(batch.column(1), net.vocabulary.kind) if packed else net.vocabulary.flat(batch.column(1))
+        tokens = segments(padded(flat, sizes))
         each = net.log_probs(tokens, tokens[:, REACH : REACH + SEGMENT] > 0)
         total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), each, len(sizes)).astype(np.float64)
         return pa.record_batch([batch.column(0), pa.array(sizes), pa.array(total), pa.array(total / np.maximum(sizes, 1))], names=[id_col, "n_tokens", "log_prob", "mean_log_prob"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return map_arrow(df, [df[id_col].alias(id_col), df[text_col].alias("__text")], run, f"{id_col} {kind}, n_tokens bigint, log_prob double, mean_log_prob double")
+    kind = rows.schema[own_id].dataType.simpleString()
+    return map_arrow(rows, [rows[own_id].alias(id_col), rows[text_col].alias("__text")], run, f"{id_col} {kind}, n_tokens bigint, log_prob double, mean_log_prob double")

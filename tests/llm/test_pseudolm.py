@@ -161,3 +161,25 @@ def test_tokens_are_those_of_the_pattern_whatever_stands_between():
     want = [[v.numbers.get(w, 1 + pseudolm.bucket(w, v.buckets)) for w in pseudolm.WORDS.findall(t)] for t in every]
     assert sizes.tolist() == [*map(len, want)]
     assert stream.tolist() == [0] * 4 + [x for ids in want for x in [*ids, 0, 0, 0, 0]]
+
+
+def test_classes_are_cut_for_few_outputs():
+    counts = np.r_[0, 1e6 / np.arange(1, 8001)]
+    v = pseudolm.Vocabulary({}, 8000, counts)
+    sizes = np.bincount(v.cls[1:])
+    assert sizes.sum() == v.used.sum() == 8000 and len({*zip(v.cls[1:].tolist(), v.place[1:].tolist(), strict=True)}) == 8000
+    mean = v.classes + (sizes[v.cls[1:]] * counts[1:]).sum() / counts.sum()
+    assert mean < 0.75 * 2 * np.sqrt(8000)
+
+
+def test_scores_of_numbers_are_those_of_texts(spark):
+    rows = [(1, None), (2, ""), (None, "abc x, abc"), (4, "the cat " * 20_000), (4, "é 你😀 " + "y" * 70), (6, " \n"), (7, "abc " + "z" * 70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for buckets in (3, 70_000):  # numbers of two and of four bytes
+        found = pseudolm.numbered(df, vocabulary=4, buckets=buckets)
+        net = pseudolm.train(found, stride=1)
+        assert net.learned == 40_000 + sum(len(pseudolm.WORDS.findall(t or "")) for _, t in rows if t is None or "cat" not in t)
+        key = lambda x: (x.doc_id or 0, x.n_tokens)
+        got, want = (sorted(pseudolm.score(d, net).collect(), key=key) for d in (found, df))
+        assert [key(x) for x in got] == [key(x) for x in want]
+        assert np.allclose([x.log_prob for x in got], [x.log_prob for x in want], rtol=1e-5, atol=1e-4)
