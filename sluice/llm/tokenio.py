@@ -33,6 +33,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +46,10 @@ MAGIC, VERSION = b"SLZI", 2
 HEADER = struct.Struct("<4sI8sQ")
 #: A shard is closed at so many compressed bytes or documents.
 SHARD_BYTES, SHARD_DOCS = 4 << 20, 8192
-#: Entries of each of a worker's two caches.
-CACHE_ENTRIES = 300_000
+#: Entries of a worker's cache of words; that of stretches has twice as many. Longer stretches than SHORT are put together from words.
+CACHE_ENTRIES, SHORT = 300_000, 64
+#: New words or stretches that go to the library as one text.
+TOGETHER = 500
 MAX_RANGES = 100_000
 #: Whole arrays of sampled documents come to the dictionary's training in pieces of so many bytes.
 PIECE = 16 << 10
@@ -57,10 +60,11 @@ class LibraryEncoder:
 
     The vocabulary's first step takes at most one space into a word, and only runs of white space join across spaces. So
     where no space has white space beside it, a text's ids are those of its first stretch and of " stretch" for all others; each
-    stretch is encoded by the library once and then found in the cache. Where spaces do have white space beside them, the
+    different stretch of some texts is looked up once, and new ones are encoded by the library. Where spaces do have white space beside them, the
     text is first cut before each such run's last space, which is where the library cuts it too.
 
-    New words that begin with a space go to the library as one text: it cuts it before each space again, and the bytes of its tokens tell whose they are.
+    New stretches and words that begin with a space go to the library as one text: it cuts it before each space again, and the bytes of its tokens tell
+    whose they are.
     """
 
     def __init__(self, path: str):
@@ -73,27 +77,30 @@ class LibraryEncoder:
         self._bytes = np.zeros(self.library.get_vocab_size(), np.int64)
         for token, i in self.library.get_vocab().items():
             self._bytes[i] = len(token)
-        self._stretches, self._words = Cache(CACHE_ENTRIES), Cache(CACHE_ENTRIES)
+        self._stretches, self._words = Cache(2 * CACHE_ENTRIES), Cache(CACHE_ENTRIES)
 
     def _library(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of words, those behind a space in one text; a token of a byte-level vocabulary has a sign for each byte."""
+        """Ids of words or stretches, those behind a space in one text; a token of a byte-level vocabulary has a sign for each byte."""
         joined = [w for w in words if w[0] == " " and len(w) > 1 and not w[1].isspace()]
-        if len(joined) < 2:
+        whole = ["".join(joined[at : at + TOGETHER]) for at in range(0, len(joined), TOGETHER)]
+        if len(joined) < 2 or any(t in w for t in self.special for w in whole):
             return self._library(words)
-        ids = np.array(self.library.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, np.uint32)
-        upto, ends = np.cumsum(self._bytes[ids]), np.cumsum([len(w.encode()) for w in joined])
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(whole, add_special_tokens=False)])
+        upto, ends = np.cumsum(self._bytes[ids]), np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in joined])
         to = np.searchsorted(upto, ends, "right")
         if not np.array_equal(upto[to - 1], ends):
             return self._library(words)
         raw, edges = ids.tobytes(), (4 * to).tolist()
-        found = {w: raw[a:b] for w, a, b in zip(joined, [0, *edges], edges, strict=False)}
-        if len(found) < len(words):
-            other = [w for w in words if w not in found]
-            found |= zip(other, self._library(other), strict=True)
-        return [found[w] for w in words]
+        found = [raw[a:b] for a, b in zip([0, *edges], edges, strict=False)]
+        if len(joined) == len(words):
+            return found
+        ids = dict(zip(joined, found, strict=True))
+        other = [w for w in words if w not in ids]
+        ids |= zip(other, self._library(other), strict=True)
+        return [ids[w] for w in words]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -101,24 +108,39 @@ class LibraryEncoder:
 
     def encode_all(self, every: list[str]) -> list[bytes]:
         """Ids of some texts; what is new in them goes to the library together."""
-        out, first, parts, spans = [b""] * len(every), [], [], []
+        out, plain, spaced = [b""] * len(every), [], []
         for k, text in enumerate(every):
             if any(t in text for t in self.special) or not text.isascii() and BESIDE_WIDE.search(text):
                 out[k] = self._library([text])[0]
-                continue
-            own = CUT.split(text) if any(p in text for p in BESIDE) else text.split(" ")
-            first.append(own.pop(0))
-            at = len(parts)
-            parts += own
-            spans.append((k, at, len(parts)))
-        parts = self._stretches.all(parts, self._behind)
-        for (k, a, b), start in zip(spans, self._split(first), strict=True):
-            out[k] = start + b"".join(parts[a:b])
+            else:
+                (spaced if any(p in text for p in BESIDE) else plain).append(k)
+        cuts = [pc.split_pattern(pa.array([every[k] for k in plain], pa.string()), " "), pa.array([CUT.split(every[k]) for k in spaced], pa.list_(pa.string()))]
+        stretches, n = pa.concat_arrays([c.flatten() for c in cuts]), np.concatenate([np.asarray(pc.list_value_length(c), np.int64) for c in cuts])
+        if not len(n):
+            return out
+        # The first stretch of each text, then the others: of each different one its ids, and where they begin and end.
+        begin = np.cumsum(n) - n
+        first = self._split(stretches.take(pa.array(begin)).to_pylist())
+        behind = np.ones(len(stretches), bool)
+        behind[begin] = False
+        found = stretches.filter(pa.array(behind)).dictionary_encode()
+        ids = self._stretches.all(found.dictionary.to_numpy(zero_copy_only=False).tolist(), self._behind)
+        sizes, each = np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.asarray(found.indices, np.int64)
+        to = np.r_[0, np.cumsum(sizes[each])]
+        from_ = (np.cumsum(sizes) - sizes)[each] - to[:-1]
+        flat = np.frombuffer(b"".join(ids), np.uint32)[np.arange(to[-1]) + np.repeat(from_, sizes[each])]
+        edges = to[np.r_[0, np.cumsum(n - 1)]].tolist()
+        for k, start, a, b in zip([*plain, *spaced], first, edges[:-1], edges[1:], strict=True):
+            out[k] = start + flat[a:b].tobytes()
         return out
 
     def _behind(self, stretches: list[str]) -> list[bytes]:
         """Ids of stretches behind a space each."""
-        return self._split([f" {s}" for s in stretches])
+        if all(len(s) < SHORT for s in stretches):
+            return self._spaced([f" {s}" for s in stretches])
+        short, long = ([f" {s}" for s in stretches if (len(s) < SHORT) == is_short] for is_short in (True, False))
+        ids = dict(zip([*short, *long], [*(self._spaced(short) if short else []), *self._split(long)], strict=True))
+        return [ids[f" {s}"] for s in stretches]
 
     def _split(self, stretches: list[str]) -> list[bytes]:
         """Ids of stretches: those that the pattern of common alphabets covers are put together from words."""
@@ -147,11 +169,9 @@ class Cache:
         """The values of all keys; ``make`` gives those of a list of new ones."""
         got = [*map(self.known.get, keys)]
         if None in got:
-            at = [i for i, g in enumerate(got) if g is None]
-            new = list({keys[i] for i in at})
+            new = list(dict.fromkeys(k for k, g in zip(keys, got, strict=True) if g is None))
             found = dict(zip(new, make(new), strict=True))
-            for i in at:
-                got[i] = found[keys[i]]
+            got = [found[k] if g is None else g for k, g in zip(keys, got, strict=True)]
             room = self.entries - len(self.known)
             if room > 0:
                 self.known |= islice(((k, v) for k, v in found.items() if len(k) <= 64), room)
@@ -175,11 +195,14 @@ def encoder(path: str) -> LibraryEncoder:
 
 def planes(ids: bytes) -> bytes:
     """Ids as planes: first all low bytes, then the second ones, then the rest, which is mostly zeros."""
-    return np.frombuffer(ids, np.uint8).reshape(-1, 4).T.tobytes()
+    every = np.frombuffer(ids, "<u4")
+    return b"".join([(every >> k).astype(np.uint8).tobytes() for k in (0, 8, 16, 24)])
 
 
 def unplanes(raw: bytes) -> bytes:
-    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.tobytes()
+    every = np.frombuffer(raw, np.uint8).reshape(4, -1).astype("<u4")
+    every <<= np.array([[0], [8], [16], [24]], "<u4")
+    return np.bitwise_or.reduce(every).tobytes()
 
 
 def train(samples: list[bytes], size: int = 64 << 10) -> bytes:

@@ -104,3 +104,16 @@ def test_new_words_go_to_the_library_together():
     words = [f"q{k}x{'abc'[k % 3]}" for k in range(1000)] + ["plain" + "".join(r.choice([*"abcdefgh"], 9)) for _ in range(1000)]
     assert own.encode(" ".join(words)) == np.array(library.encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()
     assert len(sent) < 1200
+
+
+def test_a_stretch_of_many_texts_is_looked_up_once():
+    own, asked = tokenio.LibraryEncoder(PATH), []
+    library, every = own.library, ["one two two  three\n two", "two three two", "", " two", "x" * 70 + " " + "y z" * 5 + " two " + "w" * 70 + "'s", "é two 你 two,", "　 two", "two \x1e two"] * 30
+    look_up = own._stretches.all
+    own._stretches.all = lambda keys, make: asked.extend(keys) or look_up(keys, make)
+    for _ in range(2):
+        asked.clear()
+        assert own.encode_all(every) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in every]
+        assert len(asked) == len({*asked}) > 5
+    ids = np.array([0, 1, 255, 256, 65_535, 65_536, 1 << 24, (1 << 32) - 1], "<u4").tobytes()
+    assert tokenio.planes(ids)[:8] == ids[::4] and tokenio.unplanes(tokenio.planes(ids)) == ids and tokenio.planes(b"") == tokenio.unplanes(b"") == b""
