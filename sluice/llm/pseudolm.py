@@ -43,8 +43,8 @@ from sluice.llm._common import chunks, forget, map_arrow, one_thread, texts, wri
 REACH, HELD, CHUNK = 4, 400_000, 200_000
 #: Tokens of a segment; segments scored at a time. Where in a segment's tokens the neighbours of its first masked one stand.
 SEGMENT, SCORED = 128, 256
-#: Rows of a product at a time, so that they stay in the processor's cache.
-BLOCK = 1024
+#: Tokens whose neighbours are added up, and rows of a product, at a time, so that they stay in the processor's cache.
+BLOCK, ROWS = 1024, 512
 #: Tokens of a step where a task has few, and how often these come for each step at most.
 FEW, OFTEN = 2048, 64
 NEAR = (*range(REACH), *range(REACH + 1, 2 * REACH + 1))
@@ -192,6 +192,30 @@ def segments(stream: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(stream, SEGMENT + 2 * REACH)[::SEGMENT] if rows else np.zeros((0, SEGMENT + 2 * REACH), stream.dtype)
 
 
+def shifted(rows: np.ndarray) -> np.ndarray:
+    """A view of segments (segments, tokens and their neighbours, width): for each of 2 * REACH + 1 shifts a segment's tokens as one row (segments, shifts, tokens * width)."""
+    n, size, width = rows.shape
+    a, b, c = rows.strides
+    return np.lib.stride_tricks.as_strided(rows, (n, 2 * REACH + 1, (size - 2 * REACH) * width), (a, b, c), writeable=False)
+
+
+def spread(weight: np.ndarray, size: int) -> np.ndarray:
+    """Weights by position for rows of ``shifted``; a masked token itself, which stands in the middle, has none."""
+    return np.tile(np.insert(weight, REACH, 0, axis=0), size)
+
+
+def summed(rows: np.ndarray, weight: np.ndarray, out: np.ndarray) -> None:
+    """The sums over all shifts of segments times their weights, as ``spread`` has them."""
+    step = max(1, BLOCK // max(1, rows.shape[1] - 2 * REACH))
+    for a in range(0, len(rows), step):
+        np.einsum("sjk,jk->sk", shifted(rows[a : a + step]), weight, out=out[a : a + step])
+
+
+def row_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sums of rows from each place in ``first`` to the next one. Two numbers are added at a time, as the parts of a complex one, which takes half as long."""
+    return np.add.reduceat(rows.view(np.complex64) if rows.shape[1] % 2 == 0 else rows, first).view(np.float32)
+
+
 def alone(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Segments of one token: ``y`` between its neighbours ``x``."""
     return np.concatenate([x[:, :REACH], y[:, None], x[:, REACH:]], axis=1)
@@ -202,18 +226,25 @@ def around(stream: np.ndarray, at: np.ndarray) -> np.ndarray:
     return stream[at[:, None] + np.r_[-REACH:0, 1 : REACH + 1]]
 
 
-def shares(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The logarithm of the soft maximum of hidden layers' outputs, at one place of each row."""
+def beside(rows: np.ndarray, last: np.ndarray | int) -> np.ndarray:
+    """Rows with one more number each. Hidden layers get a one and weights their bias, so that the product of both adds the biases too."""
+    out = np.empty((len(rows), rows.shape[1] + 1), np.float32)
+    out[:, :-1], out[:, -1] = rows, last
+    return out
+
+
+def shares(h: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of the soft maximum of hidden layers' outputs, at one place of each row; both are as ``beside`` makes them."""
     z = h @ weights.T
-    z += bias
-    right = z[np.arange(len(z)), at]
+    right = z.reshape(-1)[np.arange(len(z)) * z.shape[1] + at]
     np.exp(z, out=z)
     return right - np.log(z @ np.ones(z.shape[1], np.float32))
 
 
 def by_class(c: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """The order of tokens by class, and in it each class's number, begin and end."""
-    order = np.argsort(c, kind="stable")
+    # Narrow numbers are sorted by their digits.
+    order = np.argsort(c.astype(np.uint16) if len(c) and c.max() < 1 << 16 else c, kind="stable")
     edges = np.r_[0, np.flatnonzero(np.diff(c[order])) + 1, len(order)]
     return order, [(int(c[order[a]]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
 
@@ -249,14 +280,11 @@ class Network:
     def hidden(self, near: np.ndarray) -> np.ndarray:
         """Of the embeddings of segments (segments, tokens and their neighbours, width), the hidden layer (segments, tokens, width)."""
         width, size = near.shape[2], near.shape[1] - 2 * REACH
-        near, step = near.reshape(len(near), -1), max(1, BLOCK // size)
-        out, part = np.empty((len(near), size * width), np.float32), np.empty((step, size * width), np.float32)
-        weight, bias = np.tile(self.weight, size), np.tile(self.bias, size)
+        out = np.empty((len(near), size * width), np.float32)
+        weight, bias, step = spread(self.weight, size), np.tile(self.bias, size), max(1, BLOCK // max(1, size))
         for a in range(0, len(near), step):
-            n, h = near[a : a + step], out[a : a + step]
-            np.multiply(n[:, : size * width], weight[0], out=h)
-            for j, at in enumerate(NEAR[1:], 1):
-                h += np.multiply(n[:, at * width : (at + size) * width], weight[j], out=part[: len(h)])
+            h = out[a : a + step]
+            summed(near[a : a + step], weight, h)
             h += bias
             np.tanh(h, out=h)
         return out.reshape(-1, size, width)
@@ -272,7 +300,7 @@ class Network:
 
     def log_probs(self, tokens: np.ndarray, masked: np.ndarray) -> np.ndarray:
         """Log probability of each token of some segments that is to be masked, in their order."""
-        classes, (within, bias), edges = np.ascontiguousarray(self.cls.T), self.ranked(), self.vocabulary.edges
+        classes, within, edges = beside(self.cls.T, self.cls_bias), beside(*self.ranked()), self.vocabulary.edges
         out, step = [np.zeros(0)], max(1, SCORED * SEGMENT // max(1, masked.shape[1]))
         for at in range(0, len(tokens), step):
             part, which = tokens[at : at + step], np.flatnonzero(masked[at : at + step])
@@ -280,15 +308,15 @@ class Network:
             t = part[:, REACH : part.shape[1] - REACH].ravel()[which]
             c, place = self.vocabulary.cls[t], self.vocabulary.place[t]
             order, groups = by_class(c)
-            c, place, h = c[order], place[order], h[which[order]]
+            c, place, h = c[order], place[order], beside(h.take(which[order], axis=0), 1)
             share = np.empty(len(c))
-            for a in range(0, len(c), BLOCK):
-                share[a : a + BLOCK] = shares(h[a : a + BLOCK], classes, self.cls_bias, c[a : a + BLOCK])
+            for a in range(0, len(c), ROWS):
+                share[a : a + ROWS] = shares(h[a : a + ROWS], classes, c[a : a + ROWS])
             for g, a, b in groups:
                 own = slice(edges[g], edges[g + 1])
-                for a in range(a, b, BLOCK):
-                    to = min(b, a + BLOCK)
-                    share[a:to] += shares(h[a:to], within[own], bias[own], place[a:to])
+                for a in range(a, b, ROWS):
+                    to = min(b, a + ROWS)
+                    share[a:to] += shares(h[a:to], within[own], place[a:to])
             whole = np.empty(len(c))
             whole[order] = share
             out.append(whole)
@@ -336,84 +364,79 @@ class Learner:
     def _move(self, k: int, grad: np.ndarray, rows=...) -> None:
         """A step of the network's array ``k`` at ``rows``, which for outputs of tokens are all of them."""
         rows = ... if k > 4 else rows
-        past = self.past[k][rows]
-        past += grad * grad
-        if isinstance(rows, np.ndarray):
-            self.past[k][rows] = past
-        step = np.sqrt(past)
+        own, past = (x.take(rows, axis=0) if isinstance(rows, np.ndarray) else x for x in (self.own[k], self.past[k]))
+        step = grad * grad
+        past += step
+        np.sqrt(past, out=step)
         np.divide(grad, step, out=step)
         step *= self.rate
-        self.own[k][rows] -= step
-
-    def _output(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Train the output on hidden layers and their tokens; the gradient of the hidden layers."""
-        v, n = self.net.vocabulary, np.float32(1 / len(y))
-        order, groups = by_class(v.cls[y])
-        h, y = h[order], y[order]
-        c, place = v.cls[y], v.place[y]
-        back = np.zeros_like(h)
-        ones = np.ones(max(v.classes, v.width), np.float32)
-        classes, (within, bias) = np.ascontiguousarray(self.own[3].T), self.own[5:]
-
-        def train(a, b, weights, bias, at, grad, grad_bias):
-            """Add to the gradients: probabilities less what was right, over the number of tokens. Rows are scaled where they are short."""
-            p = h[a:b] @ weights.T
-            p += bias
+        own -= step
+        if isinstance(rows, np.ndarray):
+            self.own[k][rows], self.past[k][rows] = own, past
+
+    def _output(self, h: np.ndarray, c: np.ndarray, place: np.ndarray, groups: list[tuple[int, int, int]]) -> np.ndarray:
+        """Train the output on hidden layers and their tokens' classes and places, by class; before the tanh, the gradient of the hidden layers, and a row of zeros."""
+        v, n = self.net.vocabulary, np.float32(1 / len(c))
+        room, second = np.zeros((len(h) + 1, h.shape[1]), np.float32), np.empty_like(h)
+        back, scale = room[:-1], np.empty((2, len(h), 1), np.float32)
+        ones, ranks = np.ones(max(v.classes, v.width), np.float32), np.arange(ROWS)
+        classes, within, one = np.ascontiguousarray(self.own[3].T), self.own[5], beside(h, 1)
+
+        def train(a, b, weights, both, at, grad, back, scale):
+            """Add to the outputs' gradients: probabilities less what was right, over the number of tokens. Rows are scaled where they are short, those of ``back`` at the end."""
+            p = one[a:b] @ both.T
             np.exp(p, out=p)
             total = p @ ones[: p.shape[1]]
-            p[ranks[: b - a], at[a:b]] -= total
-            total = n / total
-            grad_bias += total @ p
-            total = total[:, None]
-            back[a:b] += (p @ weights) * total
-            grad += p.T @ (h[a:b] * total)
-
-        ranks = np.arange(BLOCK)
-        grad, grad_bias = np.zeros_like(classes), np.zeros_like(self.own[4])
-        for a in range(0, len(h), BLOCK):
-            train(a, min(len(h), a + BLOCK), classes, self.own[4], c, grad, grad_bias)
-        grads, grads_bias = np.zeros_like(within), np.zeros_like(bias)
+            p.reshape(-1)[ranks[: b - a] * p.shape[1] + at[a:b]] -= total
+            np.divide(n, total, out=scale[a:b, 0])
+            np.matmul(p, weights, out=back[a:b])
+            grad += p.T @ (one[a:b] * scale[a:b])
+
+        # Weights and biases side by side, and their gradients.
+        both, every = beside(classes, self.own[4]), beside(within, self.own[6])
+        grad, grads = np.zeros_like(both), np.zeros_like(every)
+        for a in range(0, len(h), ROWS):
+            train(a, min(len(h), a + ROWS), classes, both, c, grad, back, scale[0])
         for g, first, end in groups:
             own = slice(v.edges[g], v.edges[g + 1])
-            for a in range(first, end, BLOCK):
-                train(a, min(end, a + BLOCK), within[own], bias[own], place, grads[own], grads_bias[own])
-        self._move(3, grad.T)
-        self._move(4, grad_bias)
-        self._move(5, grads, (v.ranked[0], slice(None), v.ranked[1]))
-        self._move(6, grads_bias, v.ranked)
+            for a in range(first, end, ROWS):
+                train(a, min(end, a + ROWS), within[own], every[own], place, grads[own], second, scale[1])
+        self._move(3, grad[:, :-1].T)
+        self._move(4, grad[:, -1])
+        self._move(5, np.ascontiguousarray(grads[:, :-1]), (v.ranked[0], slice(None), v.ranked[1]))
+        self._move(6, grads[:, -1], v.ranked)
+        back *= scale[0]
+        second *= scale[1]
+        back += second
         back *= 1 - h * h
-        out = np.empty_like(back)
-        out[order] = back
-        return out
+        return room
 
     def _step(self, tokens: np.ndarray, masked: np.ndarray) -> None:
         if masked.ndim == 1:
             tokens, masked = alone(tokens, masked), np.ones((len(masked), 1), bool)
-        net, size, width = self.net, masked.shape[1], len(self.net.bias)
+        net, v, size, width = self.net, self.net.vocabulary, masked.shape[1], len(self.net.bias)
         which = np.flatnonzero(masked)
         if not len(which):
             return
         near = net.embed.take(tokens, axis=0)
-        back = self._output(net.hidden(near).reshape(-1, width)[which], tokens[:, REACH : REACH + size].ravel()[which])
+        y = tokens[:, REACH : REACH + size].ravel()[which]
+        order, groups = by_class(v.cls[y])
+        y = y[order]
+        back = self._output(net.hidden(near).reshape(-1, width).take(which[order], axis=0), v.cls[y], v.place[y], groups)
         self._move(2, back.sum(axis=0))
-        full = np.zeros((len(tokens), size, width), np.float32)
-        full.reshape(-1, width)[which] = back
-        grads, weight = np.zeros_like(near), np.zeros_like(net.weight)
-        step = max(1, BLOCK // size)
-        ones, room, tiled = np.ones(step * size, np.float32), np.empty((step, size * width), np.float32), np.tile(net.weight, size)
-        for a in range(0, len(near), step):
-            f, g, v = (x[a : a + step].reshape(len(x[a : a + step]), -1) for x in (full, grads, near))
-            part = room[: len(f)]
-            for j, at in enumerate(NEAR):
-                here = slice(at * width, (at + size) * width)
-                g[:, here] += np.multiply(f, tiled[j], out=part)
-                np.multiply(f, v[:, here], out=part)
-                weight[j] += ones[: len(f) * size] @ part.reshape(-1, width)
-        self._move(1, weight)
+        # The masked tokens' rows in their segments, with zeros for all others, and twice as many neighbours: each embedding's gradient is then a sum over shifts too.
+        rank, at = np.empty(len(order), np.int64), np.full((len(tokens), size + 4 * REACH), len(order))
+        rank[order] = np.arange(len(order))
+        at[:, 2 * REACH : 2 * REACH + size][masked] = rank
+        back = back.take(at, axis=0)
+        grads = np.empty((len(tokens), (size + 2 * REACH) * width), np.float32)
+        summed(back, spread(net.weight[::-1], size + 2 * REACH), grads)
+        own = back[:, 2 * REACH : 2 * REACH + size].reshape(len(tokens), -1)
+        self._move(1, np.einsum("sk,sjk->jk", own, shifted(near)).reshape(-1, size, width).sum(axis=1)[[*NEAR]])
         rows = tokens.ravel()
         order = np.argsort(rows, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(rows[order].astype(np.int64)) > 0])
-        self._move(0, np.add.reduceat(grads.reshape(-1, width)[order], first), rows[order[first]])
+        self._move(0, row_sums(grads.reshape(-1, width).take(order, axis=0), first), rows[order[first]])
 
     def state(self) -> bytes:
         """What is added up over tasks: parameters times how often they were trained, and these numbers."""

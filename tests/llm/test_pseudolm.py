@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 import numpy as np
@@ -183,3 +184,52 @@ def test_scores_of_numbers_are_those_of_texts(spark):
         got, want = (sorted(pseudolm.score(d, net).collect(), key=key) for d in (found, df))
         assert [key(x) for x in got] == [key(x) for x in want]
         assert np.allclose([x.log_prob for x in got], [x.log_prob for x in want], rtol=1e-5, atol=1e-4)
+
+
+def test_sums_over_neighbours_and_rows_are_plain_ones_in_less_time():
+    r = np.random.default_rng(4)
+    reach, segment, width = pseudolm.REACH, pseudolm.SEGMENT, 32
+    near, weight = (r.normal(size=s).astype(np.float32) for s in ((64, segment + 2 * reach, width), (2 * reach, width)))
+
+    def plain():
+        return sum(near[:, at : at + segment] * w for at, w in zip(pseudolm.NEAR, weight, strict=True))
+
+    def at_once(out=np.empty((64, segment * width), np.float32)):
+        pseudolm.summed(near, pseudolm.spread(weight, segment), out)
+        return out.reshape(64, segment, width)
+
+    assert np.allclose(at_once(), plain(), atol=1e-4)
+    times = {f: [] for f in (plain, at_once)}
+    for _ in range(9):
+        for f, took in times.items():
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+    assert min(times[at_once]) < 0.75 * min(times[plain])
+    for wide in (1, 7, 8):
+        rows, first = r.normal(size=(50, wide)).astype(np.float32), np.array([0, 1, 5, 30])
+        assert np.allclose(pseudolm.row_sums(rows, first), np.add.reduceat(rows, first), atol=1e-5)
+
+
+def test_gradient_of_segments_with_some_tokens_masked_is_that_of_the_loss():
+    r = np.random.default_rng(5)
+    net = small()
+    for k in (1, 2, 3, 5):
+        net.parameters()[k][...] += r.normal(0, 0.3, net.parameters()[k].shape)
+    tokens = r.integers(0, 46, (3, 20 + 2 * pseudolm.REACH)).astype(np.uint16)
+    masked = (r.random((3, 20)) < 0.6) & (tokens[:, pseudolm.REACH : -pseudolm.REACH] > 0)
+    learner, got = pseudolm.Learner(net), {}
+    learner._move = lambda k, grad, rows=...: got.setdefault(k, (rows, grad.copy()))
+    learner._step(tokens, masked)
+    for k, (rows, grad) in got.items():
+        p = net.parameters()[k]
+        whole = np.zeros_like(p, float)
+        whole[rows] += grad
+        for _ in range(6):
+            at = tuple(r.integers(0, s) for s in p.shape)
+            old, loss = p[at], []
+            for e in (1e-2, -1e-2):
+                p[at] = old + e
+                loss.append(-net.log_probs(tokens, masked).mean())
+            p[at] = old
+            assert np.isclose(whole[at], (loss[0] - loss[1]) / 2e-2 if np.isfinite(old) else 0, atol=2e-3), (k, at)
